@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .packing import pack_documents
+from .store import new_path
+from .token_counts import TokenRollup
+from .tokenizer import default_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +19,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and tokenizer version after the batch of all documents, offered twice."""
+    tokenizers = {n: default_path(f"{n}.tiktoken") for n in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    rollup = TokenRollup(spark, new_path(spark, "token-rollup"), tokenizers)
+    documents = _table(spark, sf_dir, "documents")
+    rollup.commit("documents", documents)
+    rollup.commit("documents", documents)  # the same batch again, as after a lost acknowledgement: nothing changes
+    return rollup.totals()
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_token_counts": op1_token_counts,
+    "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 

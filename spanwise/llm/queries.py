@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .store import new_path
 from .token_counts import TokenRollup
 from .tokenizer import default_path
+from .toxicity import score_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +31,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"))
 
@@ -37,10 +43,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op4_decontaminate": op4_decontaminate,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {

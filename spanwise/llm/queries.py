@@ -10,6 +10,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .store import new_path
+from .substring import remove_repeats
 from .token_counts import TokenRollup
 from .tokenizer import default_path
 from .toxicity import score_documents
@@ -31,6 +32,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("n_factors")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -49,6 +54,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op3_substring": op3_substring,
     "op4_decontaminate": op4_decontaminate,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
@@ -56,6 +62,26 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_substring": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), windows AS (
+            SELECT doc_id, p, array_to_string(words[p:p + 12], ' ') AS key
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS p FROM d)
+        ), firsts AS (
+            SELECT key, min(doc_id) AS owner FROM windows GROUP BY key
+        ), gone AS (
+            SELECT DISTINCT doc_id, p + i AS at FROM windows JOIN firsts USING (key), range(13) AS r(i) WHERE owner < doc_id
+        ), placed AS (
+            SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS at FROM d
+        ), kept AS (
+            SELECT p.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY at) AS text
+            FROM placed p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.at = g.at GROUP BY p.doc_id
+        )
+        SELECT d.doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
+               sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
+    """,
     "op8_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256

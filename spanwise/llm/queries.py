@@ -71,12 +71,12 @@ ORACLES: dict[str, str] = {
         ), firsts AS (
             SELECT key, min(doc_id) AS owner FROM windows GROUP BY key
         ), gone AS (
-            SELECT DISTINCT doc_id, p + i AS at FROM windows JOIN firsts USING (key), range(13) AS r(i) WHERE owner < doc_id
+            SELECT DISTINCT doc_id, p + i AS q FROM windows JOIN firsts USING (key), range(13) AS r(i) WHERE owner < doc_id
         ), placed AS (
-            SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS at FROM d
+            SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS q FROM d
         ), kept AS (
-            SELECT p.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY at) AS text
-            FROM placed p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.at = g.at GROUP BY p.doc_id
+            SELECT p.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY q) AS text
+            FROM placed p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.q = g.q GROUP BY p.doc_id
         )
         SELECT d.doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
                sha256(coalesce(k.text, '')) AS kept_sha256

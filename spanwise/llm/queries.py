@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import lm
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .minhash import near_duplicates
 from .packing import pack_documents
 from .store import new_path
 from .substring import remove_repeats
@@ -33,6 +34,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("n_factors")
 
@@ -59,6 +64,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_minhash": op2_minhash,
     "op3_substring": op3_substring,
     "op4_decontaminate": op4_decontaminate,
     "op6_lm_score": op6_lm_score,
@@ -68,6 +74,29 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_minhash": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(words[p:p + 4], ' ') AS shingle
+            FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, least(len(words), 1) + 1))) AS p FROM d)
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+            FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+        ), reach AS (
+            SELECT doc_id AS node, doc_id AS least FROM d
+            UNION
+            SELECT b, least FROM reach JOIN links ON a = node WHERE least < b
+        )
+        SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(least) AS component_id, d.doc_id = min(least) AS kept
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON node = d.doc_id GROUP BY d.doc_id
+    """,
     "op3_substring": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents

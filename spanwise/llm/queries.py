@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import lm
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .line_dedup import line_report
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .store import new_path
@@ -62,6 +63,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash": op2_minhash,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -126,4 +132,40 @@ ORACLES: dict[str, str] = {
                doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op10_line_dedup": r"""
+        WITH raw AS (
+            SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS no
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+        ), normal AS (
+            SELECT doc_id, no, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM raw
+        ), pieces AS (
+            SELECT doc_id, no, words[p:p + 255] AS words, p
+            FROM (SELECT doc_id, no, words, unnest(range(1, greatest(len(words), 1) + 1, 256)) AS p
+                  FROM (SELECT doc_id, no, string_split(line, ' ') AS words FROM normal))
+        ), units AS (
+            SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY no, p) - 1 AS k, words,
+                   array_to_string(words, ' ') AS unit FROM pieces
+        ), lines AS (
+            SELECT unit, min({'d': doc_id, 'a': k}) AS place, any_value(words) AS words FROM units WHERE unit <> '' GROUP BY unit
+        ), able AS (
+            SELECT * FROM lines WHERE len(words) >= 8
+        ), variants AS (
+            SELECT unit, place, i, array_to_string(words[1:i - 1] || words[i + 1:], ' ') AS key
+            FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM able)
+        ), near AS (
+            SELECT unit, min(best) AS best FROM (
+                SELECT unit, min(place) OVER (PARTITION BY key, i) AS best FROM variants
+                UNION ALL SELECT v.unit, a.place FROM variants v JOIN able a ON a.unit = v.key
+                UNION ALL SELECT a.unit, v.place FROM variants v JOIN able a ON a.unit = v.key
+            ) GROUP BY unit
+        ), owner AS (
+            SELECT l.unit, least(l.place, coalesce(n.best, l.place)) AS owner FROM lines l LEFT JOIN near n ON n.unit = l.unit
+        ), gone AS (
+            SELECT u.doc_id, u.k FROM units u JOIN owner o ON o.unit = u.unit WHERE {'d': u.doc_id, 'a': u.k} > o.owner
+        )
+        SELECT c.doc_id, c.n_lines, coalesce(g.n, 0) AS n_removed, coalesce(g.removed, '') AS removed
+        FROM (SELECT doc_id, count(*) AS n_lines FROM units GROUP BY doc_id) c
+        LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(k, ',' ORDER BY k) AS removed FROM gone GROUP BY doc_id) g
+        ON g.doc_id = c.doc_id
+    """,
 }

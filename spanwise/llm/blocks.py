@@ -126,6 +126,7 @@ class BlockTable:
         total = self.blocks.agg(F.sum("n_bytes")).first()[0] or 0
         self.ranges = max(self.buckets, -(-total // RANGE_BYTES))
         self.joined = self.blocks
+        self.told: dict[str, DataFrame] = {}
 
     def map(self, run: Callable[[Block, list], Iterator[pa.RecordBatch]], schema: str, answers: tuple[str, ...] = ()) -> DataFrame:
         """``run(block, answers)`` on every block; each answer is a list of (range, bytes) in order of ranges."""
@@ -193,12 +194,31 @@ class BlockTable:
             data = [pack_n(back[:, e - m : e].reshape(-1)) for e, m in zip(ends, sizes)]
             return pa.table({"block": pa.array(blocks, pa.int64()), "range": table["range"], "data": pa.array(data, pa.binary())})
 
-        sent = self.map(send, MESSAGE, answers)
+        self._exchange(name, self.map(send, MESSAGE, answers), gather)
+
+    def exchange(self, name: str, send: Callable, gather: Callable[[pa.Table], pa.Table], answers: tuple[str, ...] = ()) -> None:
+        """Add the answer column ``name`` by messages ``(block, range, data)`` of a form of its own.
+
+        ``gather`` sees the messages of one range and returns as many answers ``(block, range, data)``.
+        """
+        self._exchange(name, self.map(send, "block long, range int, data binary", answers), gather)
+
+    def _exchange(self, name: str, sent: DataFrame, gather: Callable[[pa.Table], pa.Table]) -> None:
         told = sent.groupBy("range").applyInArrow(gather, "block long, range int, data binary")
         told = told.groupBy("block").agg(F.collect_list(F.struct("range", "data")).alias(name))
         told = _bucketed(told, "answers", self.buckets)
+        self.told[name] = told
         self.joined = self.joined.join(told.hint("shuffle_hash"), "block", "left")
 
+    def any_answer(self, name: str, holds: Callable[[np.ndarray], bool]) -> bool:
+        """Whether ``holds`` is true of any answer ``name``; reads no text."""
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = any(holds(unpack_n(x["data"])) for b in batches for row in b.column(0).to_pylist() for x in row)
+            yield pa.RecordBatch.from_arrays([pa.array([found], pa.bool_())], names=["found"])
+
+        return bool(self.told[name].select(name).mapInArrow(look, "found boolean").agg(F.max("found")).first()[0])
+
 
 def range_edges(keys: np.ndarray, n: int) -> np.ndarray:
     """Where each of ``n`` equal ranges of hash values begins in ordered ``keys``."""

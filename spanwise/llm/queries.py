@@ -14,6 +14,7 @@ from .minhash import near_duplicates
 from .packing import pack_documents
 from .store import new_path
 from .substring import remove_repeats
+from .suffix_dedup import remove_repeated_bytes
 from .token_counts import TokenRollup
 from .tokenizer import default_path
 from .toxicity import score_documents
@@ -47,6 +48,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(_table(spark, sf_dir, "documents"))
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(_table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op2_minhash": op2_minhash,
     "op3_substring": op3_substring,
     "op4_decontaminate": op4_decontaminate,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_lm_score": op6_lm_score,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,

@@ -8,9 +8,10 @@ stop as soon as every place holds less than the round's number.
 
 Sets that are equal count once. Members of a band's bucket are never paired
 all with all: each round compares members with a few pivots of their bucket,
-and only across groups that are not linked yet; links found elsewhere count. A
-bucket is done when its members are one group or have all been pivots, so no
-link between members of a bucket is lost.
+and only across groups that are not linked yet; links found elsewhere count,
+and pairs that their rare shingles rule out are not looked at (see ``_linked``).
+A bucket is done when its members are one group, find no partner or have all
+been pivots, so no link between groups of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .text import Rolling, Texts, Words, mix, ranges, window_counts
 PLACES, ROWS = 64, 4
 BANDS = PLACES // ROWS
 PART_BYTES = 1 << 20
+#: A shingle is rare among open nodes if so many hold it at most.
+RARE = 8
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
@@ -133,10 +136,11 @@ def near_duplicates(
     ``width`` lower-cased words each. Candidates share a band of ``ROWS`` out of
     ``PLACES`` signature places; a pair at the threshold of 85 is missed by all
     16 bands with a probability under 1e-5. Defined cases: texts without words
-    (null, empty) link with nothing; rows repeated under one id are one
-    document, so whatever one of them links with the others do; a null id
-    takes part in no link and is its own group (component null, kept); an empty
-    table gives an empty result; other columns are not read.
+    (null, empty) link with nothing and are kept; rows repeated with one id and
+    text give the same row each; of rows of one id and different texts, one
+    text stands for the id where links are verified; a null id takes part in no link and is its own group
+    (component null, kept); an empty table gives an empty result; other columns
+    are not read.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = write_table(source.mapInArrow(_sign(width), SIGNED), "minhash-signed")
@@ -167,42 +171,99 @@ def near_duplicates(
     )
 
 
+def _can_link(size_a, rare_a, size_b, rare_b, percent: int):
+    """Whether sets that share none of their rare shingles can be similar enough: the rest is all they can share."""
+    most = F.least(size_a - rare_a, size_b - rare_b)
+    return 100 * most >= percent * (size_a + size_b - most)
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with their components, of buckets that hold more than one component."""
+    now = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spans = now.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    return now.join(spans.filter("least < most").select("band", "key"), ["band", "key"], "left_semi")
+
+
+def _rarity(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``node, rare, prefix``: how many shingles at most ``RARE`` open nodes hold, and those of them in the prefix.
+
+    The prefix of a set is so many of its rarest shingles that a similar set
+    cannot miss them all; both sides order shingles alike.
+    """
+    held = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+    held = write_table(held, "minhash-held")
+    counted = held.groupBy("shingle").agg(F.count("*").alias("times"))
+    seldom = held.join(counted.filter(F.col("times") <= RARE), "shingle").groupBy("node")
+    seldom = seldom.agg(F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("seldom"))
+    sizes = sets.select("node", F.size("shingles").alias("n"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    return seldom.join(sizes, "node").select(
+        "node", F.size("seldom").alias("rare"), F.slice("seldom.shingle", F.lit(1), prefix).alias("prefix")
+    )
+
+
 def _linked(source: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """Verified links ``(a, b)`` that join all nodes which links inside the buckets ``(band, key, node, size)`` join."""
+    """Verified links ``(a, b)`` that join all nodes which links inside the buckets ``(band, key, node, size)`` join.
+
+    1. Every member is compared with the least of its bucket.
+    2. Of buckets that still hold several groups, members that share a rare
+       shingle of their prefixes are compared; such a shingle has ``RARE``
+       holders at most.
+    3. Other pairs can only share what is not rare, which rules most of them
+       out unseen. Those left are compared with more and more pivots.
+    """
     if members.isEmpty():
         return None
     ids = members.select(F.col("node").alias("doc_id")).distinct()
-    # Of rows repeated under one id, the texts' sets are united: they are one document.
     sets = source.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "node long, shingles array<long>")
-    sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))  # rows repeated under one id: one of them
     sets = write_table(sets, "minhash-sets")
-    links, labels, pivots = None, None, 1
+    ordered = [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
+
+    least = members.groupBy("band", "key").agg(F.min(F.struct("node", "size")).alias("pivot"))
+    least = write_table(least.select("band", "key", "pivot.*").toDF("band", "key", "pivot", "pivot_size"), "minhash-pivots")
+    close = F.least("size", "pivot_size") * 100 >= F.greatest("size", "pivot_size") * percent
+    pairs = members.join(least, ["band", "key"]).filter(F.col("node") != F.col("pivot")).filter(close).select(*ordered).distinct()
+    links = write_table(_verified(pairs, sets, percent), "minhash-links")
+    labels = components(links)
+    used = least.select("band", "key", F.col("pivot").alias("node"))
+    members = members.join(used, ["band", "key", "node"], "left_anti")
+    now = write_table(_open(members, labels), "minhash-open")
+    if now.isEmpty():
+        return links
+
+    rarity = write_table(_rarity(now, sets, percent), "minhash-rarity")
+    nodes = now.select("node", "size", "component").distinct().join(rarity, "node", "left").withColumn("rare", F.coalesce("rare", F.lit(0)))
+    left = nodes.select("node", "size", "component", F.explode("prefix").alias("shingle"))
+    right = left.toDF("pivot", "pivot_size", "group", "shingle")
+    pairs = left.join(right, (left["shingle"] == right["shingle"]) & (F.col("node") < F.col("pivot")) & (F.col("component") != F.col("group")) & close)
+    found = write_table(_verified(pairs.select(*ordered).distinct(), sets, percent), "minhash-links")
+    links = links.unionByName(found)
+    known = write_table(nodes.select("node", "rare"), "minhash-rare")
+    members = now.drop("component").join(known, "node", "left")
+    pivots = 1
     while True:
-        if labels is None:
-            now = members.withColumn("component", F.col("node"))
-        else:
-            now = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        spans = now.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        undone = spans.filter("least < most").select("band", "key")
-        now = write_table(now.join(undone, ["band", "key"], "left_semi"), "minhash-open")
+        # Whom the bucket's smallest set is too large for finds no partner in it.
+        smallest = members.groupBy("band", "key").agg(F.min("size").alias("smallest"))
+        reach = (F.col("size") - F.col("rare")) * (100 + percent) - percent * F.col("size")
+        members = members.join(smallest, ["band", "key"]).filter(reach >= percent * F.col("smallest")).drop("smallest")
+        labels = components(links)
+        now = write_table(_open(members, labels), "minhash-open")
         if now.isEmpty():
             return links
         slot = F.pmod(F.xxhash64("node", "band", F.lit(pivots)), F.lit(pivots))
-        chosen = now.groupBy("band", "key", slot.alias("slot")).agg(F.min(F.struct("node", "component", "size")).alias("pivot"))
-        chosen = chosen.select("band", "key", "pivot.*").toDF("band", "key", "pivot", "group", "pivot_size")
+        chosen = now.groupBy("band", "key", slot.alias("slot")).agg(F.min(F.struct("node", "component", "size", "rare")).alias("pivot"))
+        chosen = chosen.select("band", "key", "pivot.*").toDF("band", "key", "pivot", "group", "pivot_size", "pivot_rare")
         chosen = write_table(chosen, "minhash-pivots")
-        close = F.least("size", "pivot_size") * 100 >= F.greatest("size", "pivot_size") * percent
-        pairs = now.join(chosen, ["band", "key"]).filter(F.col("component") != F.col("group")).filter(close)
-        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        found = write_table(_verified(pairs, sets, percent), "minhash-links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        able = _can_link(F.col("size"), F.col("rare"), F.col("pivot_size"), F.col("pivot_rare"), percent)
+        pairs = now.join(chosen, ["band", "key"]).filter((F.col("component") != F.col("group")) & able)
+        links = links.unionByName(write_table(_verified(pairs.select(*ordered).distinct(), sets, percent), "minhash-links"))
         used = chosen.select("band", "key", F.col("pivot").alias("node"))
         members = now.drop("component").join(used, ["band", "key", "node"], "left_anti")
         pivots = min(4 * pivots, 256)
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
-    """The document with the least id of each group, all its columns."""
-    kept = near_duplicates(docs, width, percent).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The document with the least id of each group, all its columns; of rows under one id, all or none."""
+    kept = near_duplicates(docs, width, percent).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")

@@ -31,10 +31,17 @@ def forest(links) -> dict:
     return {x: find(parent, x) for x in list(parent)}
 
 
-#: Links that one union-find holds at a time.
+#: Links that one union-find holds at a time; no more than these settle in one task.
 CHUNK = 200_000
 
 
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The root of each node of all links that the task reads."""
+    roots = forest((a, b) for x in batches for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist()))
+    columns = [pa.array(list(roots), pa.int64()), pa.array(list(roots.values()), pa.int64())]
+    yield pa.RecordBatch.from_arrays(columns, names=["node", "component"])
+
+
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's links as stars around the least node of each tree: no more links than before."""
 
@@ -57,16 +64,21 @@ def _ordered(links: DataFrame) -> DataFrame:
     return links.filter("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, chunk: int | None = None) -> DataFrame:
     """``node, component`` for each node of links ``(a, b)``: the least node that it reaches.
 
-    Every round hooks each node to its least neighbour, follows the hooks to
-    their roots by doubling, and contracts. Rounds are few, since each node
-    with a smaller neighbour vanishes. Aggregates are pre-summed map-side, so a
-    node with very many links is no hot spot.
+    Tasks first reduce their links to forests. If these hold ``chunk`` links at
+    most, one union-find settles them. Otherwise every round hooks each node to
+    its least neighbour, follows the hooks to their roots by doubling, and
+    contracts. Rounds are few, since each node with a smaller neighbour
+    vanishes. Aggregates are pre-summed map-side, so a node with very many links
+    is no hot spot.
     """
     stars = "high long, low long"
-    links = write_table(_ordered(links).mapInArrow(_local, stars).distinct(), "links")
+    links = write_table(_ordered(links).mapInArrow(_local, stars), "links")
+    if links.count() <= (CHUNK if chunk is None else chunk):
+        return write_table(links.coalesce(1).mapInArrow(_settle, "node long, component long"), "labels")
+    links = write_table(links.distinct(), "links")
     nodes = links.select(F.col("high").alias("node")).union(links.select("low")).distinct()
     labels = nodes.select("node", F.col("node").alias("component"))
     while not links.isEmpty():

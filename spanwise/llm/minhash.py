@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from .text import Rolling, Texts, Words, mix, ranges, window_counts
 PLACES, ROWS = 64, 4
 BANDS = PLACES // ROWS
 PART_BYTES = 1 << 20
+#: Bits of the map of ids that tells whose sets are needed again: 8 MB at most.
+MOST_BITS = 1 << 26
 #: A shingle is rare among open nodes if so many hold it at most.
 RARE = 8
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
@@ -104,9 +107,44 @@ def _sign(width: int):
     return run
 
 
-def _sets(width: int):
+def _marks(bits: int):
+    """Words of a bit map of ids, two bits for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bits(np.asarray(batch.column(0)), bits)
+            words = np.unique(at >> np.uint64(6))
+            values = np.zeros(len(words), dtype=np.uint64)
+            np.bitwise_or.at(values, np.searchsorted(words, at >> np.uint64(6)), np.uint64(1) << (at & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(values.view(np.int64))], names=["word", "bits"])
+
+    return run
+
+
+def _bits(ids: np.ndarray, bits: int) -> np.ndarray:
+    first = mix(ids.astype(np.int64).view(np.uint64))
+    return np.concatenate([first, mix(first)]) & np.uint64(bits - 1)
+
+
+def _bit_map(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of ids: 16 bits for each, ``MOST_BITS`` at most. More ids only let more others pass."""
+    bits = 1 << max(16, min((16 * ids.count() - 1).bit_length(), MOST_BITS.bit_length() - 1))
+    found = ids.mapInArrow(_marks(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(bits // 64, dtype=np.uint64)
+    words[np.asarray(found["word"])] = np.asarray(found["bits"]).view(np.uint64)
+    return words
+
+
+def _sets(width: int, shared):
+    """The sets of texts whose ids pass the shared bit map: all that are wanted, and few others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
         for batch in batches:
+            batch = batch.filter(pa.compute.is_valid(batch.column(0)))
+            at = _bits(np.asarray(batch.column(0)), 64 * len(words)).reshape(2, -1)
+            hit = (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).all(axis=0)
+            batch = batch.filter(pa.array(hit, pa.bool_()))
             all_texts = Texts.of(batch.column(1))
             for a, b in all_texts.parts(PART_BYTES):
                 owner, hashes = shingle_sets(all_texts.part(a, b), width)
@@ -155,7 +193,9 @@ def near_duplicates(
     members = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
     full = members.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key")
     bucketed = write_table(members.join(full, ["band", "key"], "left_semi"), "minhash-buckets")
-    links = _linked(source, bucketed, width, percent)
+    ids = signed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+    repeated = not ids.filter("n > 1").isEmpty()
+    links = _linked(source, bucketed, width, percent, repeated)
     twice = signed.filter("doc_id IS NOT NULL").select("doc_id", "set_a", "set_b", "n_shingles")
     named = twice.join(nodes.select("set_a", "set_b", "node"), ["set_a", "set_b"], "left")
     named = named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("node"))
@@ -202,7 +242,7 @@ def _rarity(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _linked(source: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame | None:
+def _linked(source: DataFrame, members: DataFrame, width: int, percent: int, repeated: bool) -> DataFrame | None:
     """Verified links ``(a, b)`` that join all nodes which links inside the buckets ``(band, key, node, size)`` join.
 
     1. Every member is compared with the least of its bucket.
@@ -214,10 +254,10 @@ def _linked(source: DataFrame, members: DataFrame, width: int, percent: int) ->
     """
     if members.isEmpty():
         return None
-    ids = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = source.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "node long, shingles array<long>")
-    sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))  # rows repeated under one id: one of them
-    sets = write_table(sets, "minhash-sets")
+    shared = source.sparkSession.sparkContext.broadcast(_bit_map(members.select("node").distinct()))  # MOST_BITS
+    sets = write_table(source.mapInArrow(_sets(width, shared), "node long, shingles array<long>"), "minhash-sets")
+    if repeated:  # rows of one id: one of them stands for it
+        sets = write_table(sets.groupBy("node").agg(F.min("shingles").alias("shingles")), "minhash-sets")
     ordered = [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
 
     least = members.groupBy("band", "key").agg(F.min(F.struct("node", "size")).alias("pivot"))
@@ -241,9 +281,9 @@ def _linked(source: DataFrame, members: DataFrame, width: int, percent: int) ->
     links = links.unionByName(found)
     known = write_table(nodes.select("node", "rare"), "minhash-rare")
     members = now.drop("component").join(known, "node", "left")
-    pivots = 1
+    pivots = 16
     while True:
-        # Whom the bucket's smallest set is too large for finds no partner in it.
+        # More pivots than one at a time: rounds cost more than comparisons do. Whom the bucket's smallest set is too large for finds no partner in it.
         smallest = members.groupBy("band", "key").agg(F.min("size").alias("smallest"))
         reach = (F.col("size") - F.col("rare")) * (100 + percent) - percent * F.col("size")
         members = members.join(smallest, ["band", "key"]).filter(reach >= percent * F.col("smallest")).drop("smallest")
@@ -260,7 +300,7 @@ def _linked(source: DataFrame, members: DataFrame, width: int, percent: int) ->
         links = links.unionByName(write_table(_verified(pairs.select(*ordered).distinct(), sets, percent), "minhash-links"))
         used = chosen.select("band", "key", F.col("pivot").alias("node"))
         members = now.drop("component").join(used, ["band", "key", "node"], "left_anti")
-        pivots = min(4 * pivots, 256)
+        pivots = 256
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:

@@ -63,27 +63,47 @@ def _duplicates(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     distinct = write_table(distinct, "lines-distinct")
     able = distinct.filter(F.col("n") >= MIN_WORDS)
-    edges = able.select("line", "place", F.explode(F.array("first", "last")).alias("edge"))
+    edges = able.select("line", F.explode(F.array("first", "last")).alias("edge"))
     several = edges.groupBy("edge").agg(F.count("*").alias("m")).filter("m > 1").select("edge")
-    chosen = edges.join(several, "edge", "left_semi").select("line", "place").distinct()
+    chosen = edges.join(several, "edge", "left_semi").select("line").distinct()
+    chosen = write_table(able.join(chosen, "line", "left_semi").select("line", "place"), "lines-chosen")
     # Their words, from the document where each occurs first.
     wanted = chosen.groupBy(F.col("place.doc").alias("doc")).agg(F.collect_set("place.at").alias("ats"))
     texts = source.select("doc", "text").join(wanted, "doc")
     texts = texts.select("doc", "ats", F.posexplode(units(F.col("text"))).alias("at", "unit"))
     texts = texts.filter(F.array_contains("ats", F.col("at"))).withColumn("line", F.xxhash64("unit"))
-    texts = texts.join(chosen, "line", "left_semi").filter(F.size(F.split("unit", " ")) >= MIN_WORDS)
-    words = write_table(
-        texts.groupBy("line").agg(F.min(_place()).alias("place"), F.max("unit").alias("unit")), "lines-words"
-    ).withColumn("words", F.split("unit", " "))
+    texts = texts.join(chosen, "line").filter(_place() == F.col("place")).withColumn("words", F.split("unit", " "))
+    # Rows repeated under one id show their lines at the same places: one of them is enough.
+    words = write_table(texts.select("line", "place", "words").dropDuplicates(["line"]), "lines-words")
     near = _near(words)
     owners = distinct.join(near, "line", "left")
     owners = owners.filter("times > 1 OR near IS NOT NULL").select("line", F.least("place", F.coalesce("near", "place")).alias("owner"))
     return lines, owners
 
 
+def _sharing_halves(words: DataFrame) -> DataFrame:
+    """The lines that share half of themselves with another line of the same or the next number of words.
+
+    One edit leaves the first or the last half of the shorter line untouched, so
+    a line shows its halves for its own number of words and for one word less.
+    """
+
+    def halves(n: Column) -> list[Column]:
+        half = F.floor(n / 2).cast("int")
+        first = F.slice("words", F.lit(1), half)
+        last = F.slice("words", F.size("words") - (n - half) + 1, n - half)
+        return [F.xxhash64(n, F.lit("first"), first), F.xxhash64(n, F.lit("last"), last)]
+
+    n = F.size("words")
+    shown = words.select("line", F.explode(F.array(*halves(n), *halves(n - 1))).alias("half"))
+    several = shown.groupBy("half").agg(F.count("*").alias("m")).filter("m > 1").select("half")
+    return words.join(shown.join(several, "half", "left_semi").select("line").distinct(), "line", "left_semi")
+
+
 def _near(words: DataFrame) -> DataFrame:
     """``(line, near)``: the earliest place of another line within one edit, where there is one."""
-    hashed = words.select("line", "place", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
+    words = write_table(_sharing_halves(words), "lines-open")
+    hashed = words.select("line", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
     n = F.size("w")
     without = F.transform(
         F.sequence(F.lit(1), n),
@@ -92,20 +112,23 @@ def _near(words: DataFrame) -> DataFrame:
         ),
     )
     whole = F.array(F.struct(F.xxhash64(n, "w").alias("key"), F.lit(0).alias("gap")))
-    emitted = hashed.select("line", "place", F.inline(F.concat(whole, without)))
-    emitted = write_table(emitted, "lines-variants")
+    emitted = write_table(hashed.select("line", F.inline(F.concat(whole, without))), "lines-variants")
+    # Only keys that several rows share go on, with the places of their lines.
+    several = emitted.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
+    shared = emitted.join(several, "key", "left_semi").join(words.select("line", "place"), "line")
+    shared = write_table(shared, "lines-shared")
     earliest = F.min(F.struct("place", "line"))
     # Replaced word: variants with the same gap. Of the whole lines of a key there is one.
-    same = emitted.filter("gap > 0").groupBy("key", "gap").agg(earliest.alias("best"), F.count("*").alias("m")).filter("m > 1")
+    same = shared.filter("gap > 0").groupBy("key", "gap").agg(earliest.alias("best"), F.count("*").alias("m")).filter("m > 1")
     # Added or missing word: one line's whole is the other's variant.
-    by_key = emitted.groupBy("key").agg(
+    by_key = shared.groupBy("key").agg(
         F.min(F.when(F.col("gap") == 0, F.struct("place", "line"))).alias("whole"),
         F.min(F.when(F.col("gap") > 0, F.struct("place", "line"))).alias("variant"),
     )
     by_key = by_key.filter("whole IS NOT NULL AND variant IS NOT NULL")
-    replaced = emitted.join(same.select("key", "gap", "best"), ["key", "gap"]).select("line", "place", "best")
+    replaced = shared.join(same.select("key", "gap", "best"), ["key", "gap"]).select("line", "place", "best")
     other = F.when(F.col("gap") == 0, F.col("variant")).otherwise(F.col("whole"))
-    resized = emitted.join(by_key, "key").select("line", "place", other.alias("best"))
+    resized = shared.join(by_key, "key").select("line", "place", other.alias("best"))
     found = replaced.unionByName(resized).filter(F.col("best.place") < F.col("place"))
     found = found.groupBy("line").agg(F.min("best").alias("best")).select("line", F.col("best.place").alias("near"), F.col("best.line").alias("other"))
     # Verified on the words themselves.

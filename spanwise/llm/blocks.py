@@ -15,7 +15,6 @@ with what the block sent.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import new_path
+from .store import write_bucketed
 from .text import Texts
 
 BLOCK_BYTES = 4 << 20
@@ -107,14 +106,6 @@ def _tables(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _bucketed(df: DataFrame, label: str, buckets: int) -> DataFrame:
-    """``df`` written by buckets of ``block``: later joins on it need no exchange."""
-    spark = df.sparkSession
-    name = f"{label}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, "block").option("path", new_path(spark, label)).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
-
-
 class BlockTable:
     """The texts of ``docs`` in blocks. Null texts count as empty; each row is in exactly one block."""
 
@@ -122,7 +113,7 @@ class BlockTable:
         self.spark = docs.sparkSession
         self.buckets = _tables(self.spark)
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        self.blocks = _bucketed(rows.mapInArrow(_build, BLOCKS), "blocks", self.buckets)
+        self.blocks = write_bucketed(rows.mapInArrow(_build, BLOCKS), "blocks", self.buckets, "block")
         total = self.blocks.agg(F.sum("n_bytes")).first()[0] or 0
         self.ranges = max(self.buckets, -(-total // RANGE_BYTES))
         self.joined = self.blocks
@@ -206,7 +197,7 @@ class BlockTable:
     def _exchange(self, name: str, sent: DataFrame, gather: Callable[[pa.Table], pa.Table]) -> None:
         told = sent.groupBy("range").applyInArrow(gather, "block long, range int, data binary")
         told = told.groupBy("block").agg(F.collect_list(F.struct("range", "data")).alias(name))
-        told = _bucketed(told, "answers", self.buckets)
+        told = write_bucketed(told, "answers", self.buckets, "block")
         self.told[name] = told
         self.joined = self.joined.join(told.hint("shuffle_hash"), "block", "left")
 

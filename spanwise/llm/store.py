@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_named: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,7 +28,7 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def write_table(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+def write_table(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once as Parquet and return a frame that reads it.
 
     Unlike an executor-local checkpoint, the files outlive any executor.
@@ -38,8 +39,22 @@ def write_table(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_bucketed(df: DataFrame, label: str, buckets: int, key: str) -> DataFrame:
+    """``df`` written by hash buckets of ``key``: later joins on it need no exchange."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    name = path.rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "snappy").saveAsTable(name)
+    _named.append((spark, name))
+    return spark.table(name)
+
+
 def release() -> None:
     """Delete every table written by this process. Call it once results are stored elsewhere."""
+    while _named:
+        spark, name = _named.pop()
+        if spark.sparkContext._jsc is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     while _written:
         spark, path = _written.pop()
         jvm = spark.sparkContext._jvm
@@ -55,3 +70,4 @@ def _at_exit() -> None:
         release()
     except Exception:  # noqa: BLE001  the JVM may be gone already
         _written.clear()
+        _named.clear()

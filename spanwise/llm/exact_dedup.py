@@ -65,6 +65,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns; repeated rows of one id and text stay together."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The rows of ``docs`` that stay, all their columns; of rows repeated with one id and text, one stays."""
+    found = exact_dedup(docs, id_col, text_col)
+    key = [F.col(id_col).alias("gone_id"), F.col("text_sha256").alias("gone_sha")]
+    sha = F.sha2(normalised(docs[text_col]), 256)
+
+    def same(other: DataFrame):
+        return docs[id_col].eqNullSafe(other["gone_id"]) & (sha == other["gone_sha"])
+
+    gone = found.filter(~F.col("kept")).select(*key).distinct()
+    stays = docs.join(gone, same(gone), "left_anti")
+    twice = write_table(found.filter("kept").select(*key).groupBy("gone_id", "gone_sha").count().filter("count > 1"), "exact-repeated")
+    if twice.isEmpty():
+        return stays
+    once = docs.join(twice, same(twice), "left_semi").dropDuplicates([id_col, text_col])
+    return stays.join(twice, same(twice), "left_anti").unionByName(once)

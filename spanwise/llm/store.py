@@ -44,7 +44,7 @@ def write_bucketed(df: DataFrame, label: str, buckets: int, key: str) -> DataFra
     spark = df.sparkSession
     path = new_path(spark, label)
     name = path.rpartition("/")[2].replace("-", "_")
-    df.write.bucketBy(buckets, key).option("path", path).option("compression", "snappy").saveAsTable(name)
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(name)
     _named.append((spark, name))
     return spark.table(name)
 

@@ -26,14 +26,24 @@ def _level(start: Column, end: Column, least: int) -> Column:
     return F.greatest(F.lit(least), F.when(end - start <= 1, F.lit(0)).otherwise(digits)).cast("int")
 
 
-def _levels(df: DataFrame, start: Column, end: Column, least: int) -> list[int]:
-    """The levels that occur: at most 64 numbers."""
-    return sorted(r[0] for r in df.select(_level(start, end, least).alias("level")).distinct().collect())
-
-
-def _base_level(df: DataFrame, start: Column, end: Column) -> int:
-    mean = df.agg(F.avg(end - start)).first()[0]
-    return max(LEAST_LEVEL, int(mean or 1).bit_length())
+def _survey(sides: Sequence[tuple[DataFrame, Column, Column]]) -> tuple[int, list[list[int]]]:
+    """A base level, near the mean length, and each side's levels from there on: one job, 64 rows a side at most."""
+    parts = [
+        df.select(F.lit(k).alias("side"), _level(s, e, LEAST_LEVEL).alias("level"), (e - s).alias("length"))
+        for k, (df, s, e) in enumerate(sides)
+    ]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    rows = union.groupBy("side", "level").agg(F.count("*").alias("n"), F.sum(F.col("length").cast("double")).alias("total")).collect()
+    base, levels = LEAST_LEVEL, []
+    for k in range(len(sides)):
+        own = [r for r in rows if r["side"] == k]
+        n = sum(r["n"] for r in own)
+        base = max(base, int(sum(r["total"] for r in own) / n).bit_length() if n else 0)
+    for k in range(len(sides)):
+        levels.append(sorted({max(base, r["level"]) for r in rows if r["side"] == k}))
+    return base, levels
 
 
 def binned_pairs(a: DataFrame, b: DataFrame, by: Sequence[str], slack: int, condition: Column, keep: Sequence[Column]) -> DataFrame:
@@ -43,8 +53,7 @@ def binned_pairs(a: DataFrame, b: DataFrame, by: Sequence[str], slack: int, cond
     """
     low, high = F.col("start") - slack, F.col("end") + slack
     low2, high2 = F.col("start2"), F.col("end2")
-    base = max(_base_level(a, low, high), _base_level(b, low2, high2))
-    levels, levels2 = _levels(a, low, high, base), _levels(b, low2, high2, base)
+    base, (levels, levels2) = _survey([(a, low, high), (b, low2, high2)])
 
     def spread(df: DataFrame, s: Column, e: Column, name: str, others: list[int]) -> DataFrame:
         own = _level(s, e, base)

@@ -269,9 +269,9 @@ _add("tile_rev", lambda spark, d: windows.tile(views.items(spark, d).withColumn(
 _add("tile_grouped", lambda spark, d: windows.tile_grouped(views.items(spark, d), 7), _tile_sql("idx, grp", "items", _BY_STRAND), "lines", "items")
 
 
-def _window(name: str, condition: str, strand) -> None:
+def _window(name: str, condition: str, strand: str) -> None:
     """Windows position by position: number them along the group, and cut where the number's window changes."""
-    frame = lambda spark, d: views.items(spark, d).withColumn("fwd", strand)
+    frame = lambda spark, d: views.items(spark, d).withColumn("fwd", F.expr(strand))
     sql = f"""+ i AS (SELECT idx, grp, s, e, {condition} AS fwd FROM items),
         p AS (SELECT idx, grp, fwd, unnest(range(s, e)) AS x FROM i),
         n AS (SELECT *, CASE WHEN fwd THEN row_number() OVER (PARTITION BY grp, fwd ORDER BY idx, x)
@@ -281,9 +281,9 @@ def _window(name: str, condition: str, strand) -> None:
     _add(name, lambda spark, d: windows.window_grouped(frame(spark, d), 11), sql, "lines", "items")
 
 
-_window("window_plus", "TRUE", F.lit(True))
-_window("window_minus", "FALSE", F.lit(False))
-_window("window_mixed", "fwd", F.col("fwd"))
+_window("window_plus", "TRUE", "true")
+_window("window_minus", "FALSE", "false")
+_window("window_mixed", "fwd", "fwd")
 
 _add(
     "group_cumsum",

@@ -8,8 +8,8 @@ place of the word left out, or as one line's whole and the other's variant.
 Matches are verified word by word. A line goes if an earlier one, in order of
 document and line, lies within the bound.
 
-Only lines that share their first or their last ``EDGE`` words with another
-line are emitted: one edit cannot touch both ends. Equal lines count as one,
+Only lines that share their first or their last ``EDGE`` words, and then half of
+their words, with another line are emitted: one edit cannot touch both ends. Equal lines count as one,
 and keys are reduced to their earliest line before anything is joined back, so
 no group of lines is ever paired with itself.
 """
@@ -27,21 +27,30 @@ MAX_WORDS = 256
 _LAST = (1 << 63) - 1
 
 
-def units(text: Column) -> Column:
-    """The lines of a text, white space runs as one blank; blank lines are empty strings, long ones are cut."""
+def _clean(text: Column) -> Column:
+    """White space runs as one blank and none at the ends of lines; texts that are so already are only looked at."""
+    untidy = F.lit(False)
+    for mark in ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c"):
+        untidy = untidy | F.contains(text, F.lit(mark))
+    tidied = F.regexp_replace(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "), r" ?\n ?", "\n")
+    return F.btrim(F.when(untidy, tidied).otherwise(text), F.lit(" "))
 
-    def line(raw: Column) -> Column:
-        return F.trim(F.regexp_replace(raw, r"[\x20\x09-\x0D]+", " "))
+
+def with_units(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``units``: the lines of a text, white space runs as one blank; blank lines are empty, long ones are cut."""
 
     def cut(words: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(words), F.lit(MAX_WORDS))
         return F.transform(starts, lambda s: F.array_join(F.slice(words, s, F.lit(MAX_WORDS)), " "))
 
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), line)
-    # A line that holds this many blanks is the exception; the others are not split into words here.
-    long = F.exists(lines, lambda x: F.length(x) > 2 * MAX_WORDS)
-    pieces = F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > 2 * MAX_WORDS, cut(F.split(x, " "))).otherwise(F.array(x))))
-    return F.when(long, pieces).otherwise(lines)
+    lines = F.split(_clean(F.coalesce(F.col(text), F.lit(""))), "\n")
+    split = df.withColumn("__lines", lines)
+    # A line that holds so many blanks is the exception; the others are not split into words here.
+    long = F.exists("__lines", lambda x: F.length(x) > 2 * MAX_WORDS)
+    pieces = F.flatten(
+        F.transform("__lines", lambda x: F.when(F.length(x) > 2 * MAX_WORDS, cut(F.split(x, " "))).otherwise(F.array(x)))
+    )
+    return split.withColumn("units", F.when(long, pieces).otherwise(F.col("__lines"))).drop("__lines")
 
 
 def _place(doc: str = "doc", at: str = "at") -> Column:
@@ -53,9 +62,10 @@ def _duplicates(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     blank = F.col("unit") == ""
     ends = [F.xxhash64(F.lit(k), F.substring_index("unit", " ", s * EDGE)) for k, s in (("first", 1), ("last", -1))]
     n_words = F.length("unit") - F.length(F.replace("unit", F.lit(" "))) + 1
-    lines = source.select("doc", "text_key", F.posexplode(units(F.col("text"))).alias("at", "unit")).filter(~blank)
+    split = with_units(source, "text").withColumn("n_units", F.size("units"))
+    lines = split.select("doc", "text_key", "n_units", F.posexplode("units").alias("at", "unit")).filter(~blank)
     lines = write_table(
-        lines.select("doc", "text_key", "at", F.xxhash64("unit").alias("line"), n_words.cast("int").alias("n"), ends[0].alias("first"), ends[1].alias("last")),
+        lines.select("doc", "text_key", "n_units", "at", F.xxhash64("unit").alias("line"), n_words.cast("int").alias("n"), ends[0].alias("first"), ends[1].alias("last")),
         "lines",
     )
     distinct = lines.groupBy("line").agg(
@@ -70,7 +80,7 @@ def _duplicates(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Their words, from the document where each occurs first.
     wanted = chosen.groupBy(F.col("place.doc").alias("doc")).agg(F.collect_set("place.at").alias("ats"))
     texts = source.select("doc", "text").join(wanted, "doc")
-    texts = texts.select("doc", "ats", F.posexplode(units(F.col("text"))).alias("at", "unit"))
+    texts = with_units(texts, "text").select("doc", "ats", F.posexplode("units").alias("at", "unit"))
     texts = texts.filter(F.array_contains("ats", F.col("at"))).withColumn("line", F.xxhash64("unit"))
     texts = texts.join(chosen, "line").filter(_place() == F.col("place")).withColumn("words", F.split("unit", " "))
     # Rows repeated under one id show their lines at the same places: one of them is enough.
@@ -108,7 +118,8 @@ def _near(words: DataFrame) -> DataFrame:
     without = F.transform(
         F.sequence(F.lit(1), n),
         lambda i: F.struct(
-            F.xxhash64(n - 1, F.concat(F.slice("w", F.lit(1), i - 1), F.slice("w", i + 1, n))).alias("key"), i.alias("gap")
+            # The hash runs over the elements of both parts as over those of one array.
+            F.xxhash64(n - 1, F.slice("w", F.lit(1), i - 1), F.slice("w", i + 1, n)).alias("key"), i.alias("gap")
         ),
     )
     whole = F.array(F.struct(F.xxhash64(n, "w").alias("key"), F.lit(0).alias("gap")))
@@ -155,10 +166,11 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _removed(source: DataFrame) -> DataFrame:
-    """``doc, text_key, gone``: the numbers of the lines that go, in order, of each document that loses some."""
+    """``doc, text_key, n_units, gone`` of documents with words: how many lines, and the numbers of those that go, in order."""
     lines, owners = _duplicates(source)
-    gone = lines.join(owners, "line").filter(_place() > F.col("owner"))
-    return gone.groupBy("doc", "text_key").agg(F.array_sort(F.collect_set("at")).alias("gone"))
+    found = lines.join(owners, "line", "left")
+    goes = F.when(_place() > F.col("owner"), F.col("at"))
+    return found.groupBy("doc", "text_key").agg(F.max("n_units").alias("n_units"), F.array_sort(F.collect_set(goes)).alias("gone"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,11 +184,13 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A 64-bit collision of keys can only keep a line.
     """
     source = _source(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.size(units(F.col(text_col))).alias("n_lines"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), breaks.alias("breaks"))
     rows = rows.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
     return rows.join(_removed(source), ["doc", "text_key"], "left").select(
         "doc_id",
-        F.col("n_lines").cast("long").alias("n_lines"),
+        F.coalesce("n_units", F.col("breaks") + 1).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed"),
     )
@@ -184,9 +198,10 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the duplicate lines left out of their texts; texts that lose none stay as they are."""
-    gone = _removed(_source(docs, id_col, text_col)).toDF("__doc", "__key", "__gone")
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    joined = docs.join(gone, (doc == F.col("__doc")) & (F.xxhash64(F.col(text_col)) == F.col("__key")), "left")
-    kept = F.filter(units(F.col(text_col)), lambda _, k: ~F.array_contains("__gone", k))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    gone = _removed(_source(docs, id_col, text_col)).filter(F.size("gone") > 0)
+    doc = F.coalesce(docs[id_col].cast("long"), F.lit(_LAST))
+    joined = docs.join(gone, (doc == gone["doc"]) & (F.xxhash64(docs[text_col]) == gone["text_key"]), "left")
+    renamed = joined.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"), gone["gone"].alias("gone"))
+    kept = F.filter("units", lambda _, k: ~F.array_contains("gone", k))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return with_units(renamed, "text").select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

@@ -36,21 +36,17 @@ def _clean(text: Column) -> Column:
     return F.btrim(F.when(untidy, tidied).otherwise(text), F.lit(" "))
 
 
-def with_units(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with ``units``: the lines of a text, white space runs as one blank; blank lines are empty, long ones are cut."""
+def units(text: Column) -> Column:
+    """The lines of a text, white space runs as one blank; blank lines are empty, those of over ``MAX_WORDS`` words are cut."""
 
     def cut(words: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(words), F.lit(MAX_WORDS))
         return F.transform(starts, lambda s: F.array_join(F.slice(words, s, F.lit(MAX_WORDS)), " "))
 
-    lines = F.split(_clean(F.coalesce(F.col(text), F.lit(""))), "\n")
-    split = df.withColumn("__lines", lines)
-    # A line that holds so many blanks is the exception; the others are not split into words here.
-    long = F.exists("__lines", lambda x: F.length(x) > 2 * MAX_WORDS)
-    pieces = F.flatten(
-        F.transform("__lines", lambda x: F.when(F.length(x) > 2 * MAX_WORDS, cut(F.split(x, " "))).otherwise(F.array(x)))
-    )
-    return split.withColumn("units", F.when(long, pieces).otherwise(F.col("__lines"))).drop("__lines")
+    # One pass over the lines: an expression that named them twice would be worked out twice. A line that could hold
+    # so many words is the exception; the others are not split into words here.
+    lines = F.split(_clean(F.coalesce(text, F.lit(""))), "\n")
+    return F.flatten(F.transform(lines, lambda x: F.when(F.octet_length(x) > 2 * MAX_WORDS - 2, cut(F.split(x, " "))).otherwise(F.array(x))))
 
 
 def _place(doc: str = "doc", at: str = "at") -> Column:
@@ -58,12 +54,12 @@ def _place(doc: str = "doc", at: str = "at") -> Column:
 
 
 def _duplicates(source: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All lines ``(doc, text_key, at, line)`` of ``source(doc, text_key, text)``, and ``(line, owner)`` of those with several."""
+    """All lines ``(doc, text_key, n_units, at, line)`` of ``source``, and ``(line, times, owner)`` of those with several."""
     blank = F.col("unit") == ""
     ends = [F.xxhash64(F.lit(k), F.substring_index("unit", " ", s * EDGE)) for k, s in (("first", 1), ("last", -1))]
-    n_words = F.length("unit") - F.length(F.replace("unit", F.lit(" "))) + 1
-    split = with_units(source, "text").withColumn("n_units", F.size("units"))
-    lines = split.select("doc", "text_key", "n_units", F.posexplode("units").alias("at", "unit")).filter(~blank)
+    n_words = F.octet_length("unit") - F.octet_length(F.replace("unit", F.lit(" "), F.lit(""))) + 1
+    split = source.select("doc", "text_key", units(F.col("text")).alias("units"))
+    lines = split.select("doc", "text_key", F.size("units").alias("n_units"), F.posexplode("units").alias("at", "unit")).filter(~blank)
     lines = write_table(
         lines.select("doc", "text_key", "n_units", "at", F.xxhash64("unit").alias("line"), n_words.cast("int").alias("n"), ends[0].alias("first"), ends[1].alias("last")),
         "lines",
@@ -79,8 +75,8 @@ def _duplicates(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     chosen = write_table(able.join(chosen, "line", "left_semi").select("line", "place"), "lines-chosen")
     # Their words, from the document where each occurs first.
     wanted = chosen.groupBy(F.col("place.doc").alias("doc")).agg(F.collect_set("place.at").alias("ats"))
-    texts = source.select("doc", "text").join(wanted, "doc")
-    texts = with_units(texts, "text").select("doc", "ats", F.posexplode("units").alias("at", "unit"))
+    texts = source.select("doc", "text").join(wanted.hint("shuffle_hash"), "doc")  # sorts no texts
+    texts = texts.select("doc", "ats", F.posexplode(units(F.col("text"))).alias("at", "unit"))
     texts = texts.filter(F.array_contains("ats", F.col("at"))).withColumn("line", F.xxhash64("unit"))
     texts = texts.join(chosen, "line").filter(_place() == F.col("place")).withColumn("words", F.split("unit", " "))
     # Rows repeated under one id show their lines at the same places: one of them is enough.
@@ -96,27 +92,30 @@ def _sharing_halves(words: DataFrame) -> DataFrame:
 
     One edit leaves the first or the last half of the shorter line untouched, so
     a line shows its halves for its own number of words and for one word less.
+    ``early`` and ``late`` tell where the edit can be.
     """
 
     def halves(n: Column) -> list[Column]:
         half = F.floor(n / 2).cast("int")
         first = F.slice("words", F.lit(1), half)
         last = F.slice("words", F.size("words") - (n - half) + 1, n - half)
-        return [F.xxhash64(n, F.lit("first"), first), F.xxhash64(n, F.lit("last"), last)]
+        return [F.struct(F.xxhash64(n, F.lit(late), x).alias("half"), F.lit(late).alias("late")) for late, x in ((True, first), (False, last))]
 
     n = F.size("words")
-    shown = words.select("line", F.explode(F.array(*halves(n), *halves(n - 1))).alias("half"))
+    shown = words.select("line", F.inline(F.array(*halves(n), *halves(n - 1))))
     several = shown.groupBy("half").agg(F.count("*").alias("m")).filter("m > 1").select("half")
-    return words.join(shown.join(several, "half", "left_semi").select("line").distinct(), "line", "left_semi")
+    sharing = shown.join(several, "half", "left_semi").groupBy("line")
+    return words.join(sharing.agg(F.max(~F.col("late")).alias("early"), F.max("late").alias("late")), "line")
 
 
 def _near(words: DataFrame) -> DataFrame:
     """``(line, near)``: the earliest place of another line within one edit, where there is one."""
     words = write_table(_sharing_halves(words), "lines-open")
-    hashed = words.select("line", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
+    hashed = words.select("line", "early", "late", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
     n = F.size("w")
+    middle = F.floor((n + 1) / 2).cast("int")
     without = F.transform(
-        F.sequence(F.lit(1), n),
+        F.sequence(F.when(F.col("early"), 1).otherwise(F.floor((n - 1) / 2).cast("int") + 1), F.when(F.col("late"), n).otherwise(middle)),
         lambda i: F.struct(
             # The hash runs over the elements of both parts as over those of one array.
             F.xxhash64(n - 1, F.slice("w", F.lit(1), i - 1), F.slice("w", i + 1, n)).alias("key"), i.alias("gap")
@@ -202,6 +201,6 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     doc = F.coalesce(docs[id_col].cast("long"), F.lit(_LAST))
     joined = docs.join(gone, (doc == gone["doc"]) & (F.xxhash64(docs[text_col]) == gone["text_key"]), "left")
     renamed = joined.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"), gone["gone"].alias("gone"))
-    kept = F.filter("units", lambda _, k: ~F.array_contains("gone", k))
+    kept = F.filter(units(F.col("text")), lambda _, k: ~F.array_contains("gone", k))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return with_units(renamed, "text").select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    return renamed.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

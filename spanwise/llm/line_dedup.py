@@ -58,8 +58,9 @@ def _duplicates(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     blank = F.col("unit") == ""
     ends = [F.xxhash64(F.lit(k), F.substring_index("unit", " ", s * EDGE)) for k, s in (("first", 1), ("last", -1))]
     n_words = F.octet_length("unit") - F.octet_length(F.replace("unit", F.lit(" "), F.lit(""))) + 1
-    split = source.select("doc", "text_key", units(F.col("text")).alias("units"))
-    lines = split.select("doc", "text_key", F.size("units").alias("n_units"), F.posexplode("units").alias("at", "unit")).filter(~blank)
+    split = source.select("doc", "text_key", units(F.col("text")).alias("units")).withColumn("n_units", F.size("units"))
+    # Here and below generators are outer ones: Spark guards the others by filters that work the array out once more.
+    lines = split.select("doc", "text_key", "n_units", F.posexplode_outer("units").alias("at", "unit")).filter(~blank)
     lines = write_table(
         lines.select("doc", "text_key", "n_units", "at", F.xxhash64("unit").alias("line"), n_words.cast("int").alias("n"), ends[0].alias("first"), ends[1].alias("last")),
         "lines",
@@ -76,15 +77,15 @@ def _duplicates(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Their words, from the document where each occurs first.
     wanted = chosen.groupBy(F.col("place.doc").alias("doc")).agg(F.collect_set("place.at").alias("ats"))
     texts = source.select("doc", "text").join(wanted.hint("shuffle_hash"), "doc")  # sorts no texts
-    texts = texts.select("doc", "ats", F.posexplode(units(F.col("text"))).alias("at", "unit"))
+    texts = texts.select("doc", "ats", F.posexplode_outer(units(F.col("text"))).alias("at", "unit"))
     texts = texts.filter(F.array_contains("ats", F.col("at"))).withColumn("line", F.xxhash64("unit"))
     texts = texts.join(chosen, "line").filter(_place() == F.col("place")).withColumn("words", F.split("unit", " "))
     # Rows repeated under one id show their lines at the same places: one of them is enough.
     words = write_table(texts.select("line", "place", "words").dropDuplicates(["line"]), "lines-words")
     near = _near(words)
     owners = distinct.join(near, "line", "left")
-    owners = owners.filter("times > 1 OR near IS NOT NULL").select("line", F.least("place", F.coalesce("near", "place")).alias("owner"))
-    return lines, owners
+    owners = owners.filter("times > 1 OR near IS NOT NULL").select("line", "times", F.least("place", F.coalesce("near", "place")).alias("owner"))
+    return lines, write_table(owners, "lines-owners")
 
 
 def _sharing_halves(words: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def _sharing_halves(words: DataFrame) -> DataFrame:
         return [F.struct(F.xxhash64(n, F.lit(late), x).alias("half"), F.lit(late).alias("late")) for late, x in ((True, first), (False, last))]
 
     n = F.size("words")
-    shown = words.select("line", F.inline(F.array(*halves(n), *halves(n - 1))))
+    shown = words.select("line", F.inline_outer(F.array(*halves(n), *halves(n - 1))))
     several = shown.groupBy("half").agg(F.count("*").alias("m")).filter("m > 1").select("half")
     sharing = shown.join(several, "half", "left_semi").groupBy("line")
     return words.join(sharing.agg(F.max(~F.col("late")).alias("early"), F.max("late").alias("late")), "line")
@@ -122,7 +123,7 @@ def _near(words: DataFrame) -> DataFrame:
         ),
     )
     whole = F.array(F.struct(F.xxhash64(n, "w").alias("key"), F.lit(0).alias("gap")))
-    emitted = write_table(hashed.select("line", F.inline(F.concat(whole, without))), "lines-variants")
+    emitted = write_table(hashed.select("line", F.inline_outer(F.concat(whole, without))), "lines-variants")
     # Only keys that several rows share go on, with the places of their lines.
     several = emitted.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     shared = emitted.join(several, "key", "left_semi").join(words.select("line", "place"), "line")
@@ -167,7 +168,11 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _removed(source: DataFrame) -> DataFrame:
     """``doc, text_key, n_units, gone`` of documents with words: how many lines, and the numbers of those that go, in order."""
     lines, owners = _duplicates(source)
-    found = lines.join(owners, "line", "left")
+    # Lines that hold more than a thousandth of all rows, a thousand at most, are joined map-side.
+    frequent = F.col("times") > F.lit(max(1, lines.count() // 1000))
+    heavy = F.broadcast(owners.filter(frequent).select("line", "owner"))
+    rest = lines.join(heavy.select("line"), "line", "left_anti").join(owners.filter(~frequent).select("line", "owner"), "line", "left")
+    found = lines.join(heavy, "line").unionByName(rest)
     goes = F.when(_place() > F.col("owner"), F.col("at"))
     return found.groupBy("doc", "text_key").agg(F.max("n_units").alias("n_units"), F.array_sort(F.collect_set(goes)).alias("gone"))
 

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import giving_back
 from .store import write_bucketed
 from .text import Texts
 
@@ -113,7 +114,7 @@ class BlockTable:
         self.spark = docs.sparkSession
         self.buckets = _tables(self.spark)
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        self.blocks = write_bucketed(rows.mapInArrow(_build, BLOCKS), "blocks", self.buckets, "block")
+        self.blocks = write_bucketed(rows.mapInArrow(giving_back(_build), BLOCKS), "blocks", self.buckets, "block")
         total = self.blocks.agg(F.sum("n_bytes")).first()[0] or 0
         self.ranges = max(self.buckets, -(-total // RANGE_BYTES))
         self.joined = self.blocks
@@ -133,7 +134,7 @@ class BlockTable:
                     given = [sorted((x["range"], x["data"]) for x in (r.as_py() or [])) for r in row[4:]]
                     yield from run(Block(row[0].as_py(), row[1].as_py(), texts), given)
 
-        return self.joined.select(*names).mapInArrow(over, schema)
+        return self.joined.select(*names).mapInArrow(giving_back(over), schema)
 
     def ask(
         self,
@@ -195,7 +196,7 @@ class BlockTable:
         self._exchange(name, self.map(send, "block long, range int, data binary", answers), gather)
 
     def _exchange(self, name: str, sent: DataFrame, gather: Callable[[pa.Table], pa.Table]) -> None:
-        told = sent.groupBy("range").applyInArrow(gather, "block long, range int, data binary")
+        told = sent.groupBy("range").applyInArrow(giving_back(gather), "block long, range int, data binary")
         told = told.groupBy("block").agg(F.collect_list(F.struct("range", "data")).alias(name))
         told = write_bucketed(told, "answers", self.buckets, "block")
         self.told[name] = told

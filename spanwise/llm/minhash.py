@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .memory import giving_back
 from .store import write_table
 from .text import Rolling, Texts, Words, mix, ranges, window_counts
 
@@ -181,7 +182,7 @@ def near_duplicates(
     are not read.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = write_table(source.mapInArrow(_sign(width), SIGNED), "minhash-signed")
+    signed = write_table(source.mapInArrow(giving_back(_sign(width)), SIGNED), "minhash-signed")
     usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # Equal sets are one node, named by the least id; their bands are equal too.
     nodes = write_table(
@@ -255,7 +256,7 @@ def _linked(source: DataFrame, members: DataFrame, width: int, percent: int, rep
     if members.isEmpty():
         return None
     shared = source.sparkSession.sparkContext.broadcast(_bit_map(members.select("node").distinct()))  # MOST_BITS
-    sets = write_table(source.mapInArrow(_sets(width, shared), "node long, shingles array<long>"), "minhash-sets")
+    sets = write_table(source.mapInArrow(giving_back(_sets(width, shared)), "node long, shingles array<long>"), "minhash-sets")
     if repeated:  # rows of one id: one of them stands for it
         sets = write_table(sets.groupBy("node").agg(F.min("shingles").alias("shingles")), "minhash-sets")
     ordered = [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
@@ -286,7 +287,9 @@ def _linked(source: DataFrame, members: DataFrame, width: int, percent: int, rep
         # More pivots than one at a time: rounds cost more than comparisons do. Whom the bucket's smallest set is too large for finds no partner in it.
         smallest = members.groupBy("band", "key").agg(F.min("size").alias("smallest"))
         reach = (F.col("size") - F.col("rare")) * (100 + percent) - percent * F.col("size")
+        # Written, so that what follows is summed before it is dealt out: a join alone can split a crowded bucket.
         members = members.join(smallest, ["band", "key"]).filter(reach >= percent * F.col("smallest")).drop("smallest")
+        members = write_table(members, "minhash-left")
         labels = components(links)
         now = write_table(_open(members, labels), "minhash-open")
         if now.isEmpty():

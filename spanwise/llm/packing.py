@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import giving_back
 from .store import write_table
 from .tokenizer import encoder
 
@@ -141,7 +142,7 @@ def pack_documents(
     an empty result; a null id is kept; other columns are not read.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = write_table(source.mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECES), "pack-pieces")
+    pieces = write_table(source.mapInArrow(giving_back(_pieces(tokenizer_path, capacity, end_id)), PIECES), "pack-pieces")
     # The written files fix the rows, so this id is the same each time it is read; it is kept with the piece.
     numbered = write_table(pieces.withColumn("item", F.monotonically_increasing_id()), "pack-numbered")
     packed = pack_items(numbered.select("item", F.col("length").alias("size")), capacity)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import giving_back
 from .tokenizer import encoder
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -51,7 +52,7 @@ def deltas(changes: DataFrame, tokenizers: dict[str, str], text_col: str = "text
     sign = F.lit(1) if sign_col is None else F.coalesce(F.col(sign_col), F.lit(0))
     rows = changes.select("source", "lang", sign.cast("int").alias("sign"), F.col(text_col).alias("text"))
     return (
-        rows.mapInArrow(_count(tokenizers), COUNTED)
+        rows.mapInArrow(giving_back(_count(tokenizers)), COUNTED)
         .groupBy(*KEYS)
         .agg(
             F.sum(F.col("sign").cast("long")).alias("n_docs"),

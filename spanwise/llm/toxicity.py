@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import give_back, giving_back
 from .store import write_table
 from .text import IS_WORD, LOWER, Rolling, Texts, byte_values
 
@@ -200,13 +201,13 @@ def train(
     if not n_pos or not n_unl:
         return None
     # Where a slot is likelier in positives than among all texts, by at least a few standard errors.
-    counted = sample.mapInArrow(_document_counts, "slot long, unlabelled long, positive long")
+    counted = sample.mapInArrow(giving_back(_document_counts), "slot long, unlabelled long, positive long")
     counted = counted.groupBy("slot").agg(F.sum("unlabelled").alias("u"), F.sum("positive").alias("p"))
     rate_p, rate_u = F.col("p") / n_pos, (F.col("u") + 0.5) / (n_unl + 1)
     gain = (rate_p - rate_u) / F.sqrt(rate_u * (1 - F.least(rate_u, F.lit(0.999))) / n_pos + 1e-9)
     best = counted.select("slot", "p", gain.alias("gain")).filter((F.col("gain") >= 5) & (F.col("p") >= 3))
     slots = np.sort(np.array([r["slot"] for r in best.orderBy(F.col("gain").desc(), "slot").limit(MAX_FEATURES).collect()], dtype=np.int64))
-    rows = sample.mapInArrow(_selected(slots), "positive int, columns binary").toArrow()
+    rows = sample.mapInArrow(giving_back(_selected(slots)), "positive int, columns binary").toArrow()
     positive = np.asarray(rows["positive"])
     vectors = [np.frombuffer(x.as_py(), dtype=np.int32) for x in rows["columns"]]
     # Sorted, so that the fit does not depend on the order in which tasks end.
@@ -230,7 +231,9 @@ def scorer(spark: SparkSession, model: Model | None):
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        return pa.array(shared.value.scores(Texts.of(text)), pa.float64())
+        found = pa.array(shared.value.scores(Texts.of(text)), pa.float64())
+        give_back()
+        return found
 
     return lambda text: score(text)
 

@@ -453,8 +453,8 @@ def one_edit(a, b):
 def test_line_dedup(spark):
     rng = random.Random(12)
     rows = corpus()
-    base = [prose(rng, n).split() for n in (8, 9, 12, 30, 7)]
-    for k in range(60):
+    base = [prose(rng, n).split() for n in (8, 9, 12, 15, 16, 30, 32, 7)]
+    for k in range(90):
         lines = []
         for _ in range(rng.randrange(1, 5)):
             w = list(rng.choice(base))

@@ -141,10 +141,10 @@ def hits_column(spark: SparkSession, items: Items):
 
     @F.arrow_udf(HITS)
     def hits(text: pa.Array) -> pa.Array:
-        matcher = built.setdefault("m", None) or shared.value.matcher()
-        built["m"] = matcher
+        if not built:
+            built["matcher"] = shared.value.matcher()
         names = ("item_id", "distance", "start", "end")
-        return pa.array([[dict(zip(names, h)) for h in matcher.find(x.as_py())] for x in text], _HIT)
+        return pa.array([[dict(zip(names, h)) for h in built["matcher"].find(x.as_py())] for x in text], _HIT)
 
     return hits
 

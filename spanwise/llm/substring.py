@@ -24,10 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import Block, BlockTable, answer, summed
-from .text import Rolling, Words, covered, mix, window_counts, ranges
+from .text import Rolling, Words, mix, ranges, window_counts
 
 SHINGLE = 6
-_SHIFT = np.uint64(1)
 
 
 class _Parse:
@@ -108,13 +107,13 @@ def factors(starts: np.ndarray, doc: np.ndarray, ref: np.ndarray, ref_word: np.n
     """
     if not len(starts):
         return np.empty((0, 3), dtype=np.int64)
-    goes_on = (starts[1:] == starts[:-1] + 1) & (doc[1:] == doc[:-1]) & (ref[1:] == ref[:-1]) & (ref_word[1:] == ref_word[:-1] + _SHIFT)
+    goes_on = (starts[1:] == starts[:-1] + 1) & (doc[1:] == doc[:-1]) & (ref[1:] == ref[:-1]) & (ref_word[1:] == ref_word[:-1] + np.uint64(1))
     first = np.flatnonzero(np.append(True, ~goes_on))
     last = np.append(first[1:], len(starts)) - 1
     return np.stack([doc[first], starts[first], starts[last] - starts[first] + width], axis=1)
 
 
-def _finish(width: int, ref_docs: bool):
+def _finish(width: int):
     def run(block: Block, given: list) -> Iterator[pa.RecordBatch]:
         parse = _Parse(block, width)
         chosen = _candidates(parse, given[0])
@@ -176,4 +175,4 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     table.ask("shared", sampled, _shared, key_bits=48)
     table.ask("places", places, _first_place, ("shared",), planes=2)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long"
-    return table.map(_finish(width, True), schema, ("shared", "places"))
+    return table.map(_finish(width), schema, ("shared", "places"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .blocks import Block, BlockTable, answer, pack_n, summed, unpack_n
+from .blocks import Block, BlockTable, answer, pack_n, summed
 from .text import Rolling, byte_values, mix, ranges
 
 GRAM = 100

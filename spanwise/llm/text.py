@@ -147,11 +147,3 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     steps[0] = starts[0]
     steps[at] = starts[1:] - starts[:-1] - counts[:-1] + 1
     return np.cumsum(steps)
-
-
-def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
-    """Flags of the n places that windows of ``width`` from ``starts`` cover."""
-    change = np.zeros(n + width + 1, dtype=np.int32)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + width, -1)
-    return np.cumsum(change[:n]) > 0

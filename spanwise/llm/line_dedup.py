@@ -8,8 +8,9 @@ place of the word left out, or as one line's whole and the other's variant.
 Matches are verified word by word. A line goes if an earlier one, in order of
 document and line, lies within the bound.
 
-Only lines that share their first or their last ``EDGE`` words, and then half of
-their words, with another line are emitted: one edit cannot touch both ends. Equal lines count as one,
+Only lines that share an end of 4, 8 or 16 words (``EDGES``, by their length),
+and then half of their words, with another line are emitted: one edit cannot
+touch both ends. Equal lines count as one,
 and keys are reduced to their earliest line before anything is joined back, so
 no group of lines is ever paired with itself.
 """
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from .store import write_table
 
-MIN_WORDS, EDGE = 8, 4
+MIN_WORDS = 8
+#: Words of the ends that lines are compared by first: at most half of the words of a line.
+EDGES = (4, 8, 16)
 #: A longer line counts as several, cut after each so many words.
 MAX_WORDS = 256
 _LAST = (1 << 63) - 1
@@ -53,25 +56,42 @@ def _place(doc: str = "doc", at: str = "at") -> Column:
     return F.struct(F.col(doc), F.col(at))
 
 
+_ENDS = ("first", "last", "other_first", "other_last")
+
+
+def _ends() -> list[Column]:
+    """Hashes of the ends of ``unit`` of ``n`` words; a line whose next shorter one has shorter ends shows those, too."""
+
+    def end(words: Column, first: bool) -> Column:
+        return F.xxhash64(words, F.lit(first), F.call_function("substring_index", F.col("unit"), F.lit(" "), words if first else -words))
+
+    n = F.col("n")
+    own, other = F.lit(None).cast("int"), F.lit(None).cast("int")
+    for shorter, words in zip((None, *EDGES), EDGES):
+        own = F.when(n >= 2 * words, F.lit(words)).otherwise(own)
+        if shorter:
+            other = F.when(n == 2 * words, F.lit(shorter)).otherwise(other)
+    both = [(own, True), (own, False), (other, True), (other, False)]
+    return [F.when(words.isNotNull(), end(words, first)).alias(name) for name, (words, first) in zip(_ENDS, both)]
+
+
 def _duplicates(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All lines ``(doc, text_key, n_units, at, line)`` of ``source``, and ``(line, times, owner)`` of those with several."""
     blank = F.col("unit") == ""
-    ends = [F.xxhash64(F.lit(k), F.substring_index("unit", " ", s * EDGE)) for k, s in (("first", 1), ("last", -1))]
     n_words = F.octet_length("unit") - F.octet_length(F.replace("unit", F.lit(" "), F.lit(""))) + 1
     split = source.select("doc", "text_key", units(F.col("text")).alias("units")).withColumn("n_units", F.size("units"))
     # Here and below generators are outer ones: Spark guards the others by filters that work the array out once more.
     lines = split.select("doc", "text_key", "n_units", F.posexplode_outer("units").alias("at", "unit")).filter(~blank)
-    lines = write_table(
-        lines.select("doc", "text_key", "n_units", "at", F.xxhash64("unit").alias("line"), n_words.cast("int").alias("n"), ends[0].alias("first"), ends[1].alias("last")),
-        "lines",
-    )
+    lines = lines.select("doc", "text_key", "n_units", "at", F.xxhash64("unit").alias("line"), n_words.cast("int").alias("n"), "unit")
+    lines = write_table(lines.select("doc", "text_key", "n_units", "at", "line", "n", *_ends()), "lines")
     distinct = lines.groupBy("line").agg(
-        F.min(_place()).alias("place"), F.count("*").alias("times"), F.max("n").alias("n"), F.max("first").alias("first"), F.max("last").alias("last")
+        F.min(_place()).alias("place"), F.count("*").alias("times"), F.max("n").alias("n"), *(F.max(c).alias(c) for c in _ENDS)
     )
     distinct = write_table(distinct, "lines-distinct")
     able = distinct.filter(F.col("n") >= MIN_WORDS)
-    edges = able.select("line", F.explode(F.array("first", "last")).alias("edge"))
-    several = edges.groupBy("edge").agg(F.count("*").alias("m")).filter("m > 1").select("edge")
+    edges = able.select("line", F.explode(F.array(*_ENDS)).alias("edge")).filter("edge IS NOT NULL")
+    # Written before it is joined by the same key, here and below: a crowded key can then be split.
+    several = write_table(edges.groupBy("edge").agg(F.count("*").alias("m")).filter("m > 1").select("edge"), "lines-edges")
     chosen = edges.join(several, "edge", "left_semi").select("line").distinct()
     chosen = write_table(able.join(chosen, "line", "left_semi").select("line", "place"), "lines-chosen")
     # Their words, from the document where each occurs first.
@@ -104,7 +124,7 @@ def _sharing_halves(words: DataFrame) -> DataFrame:
 
     n = F.size("words")
     shown = words.select("line", F.inline_outer(F.array(*halves(n), *halves(n - 1))))
-    several = shown.groupBy("half").agg(F.count("*").alias("m")).filter("m > 1").select("half")
+    several = write_table(shown.groupBy("half").agg(F.count("*").alias("m")).filter("m > 1").select("half"), "lines-halves")
     sharing = shown.join(several, "half", "left_semi").groupBy("line")
     return words.join(sharing.agg(F.max(~F.col("late")).alias("early"), F.max("late").alias("late")), "line")
 
@@ -125,7 +145,7 @@ def _near(words: DataFrame) -> DataFrame:
     whole = F.array(F.struct(F.xxhash64(n, "w").alias("key"), F.lit(0).alias("gap")))
     emitted = write_table(hashed.select("line", F.inline_outer(F.concat(whole, without))), "lines-variants")
     # Only keys that several rows share go on, with the places of their lines.
-    several = emitted.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
+    several = write_table(emitted.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "lines-keys")
     shared = emitted.join(several, "key", "left_semi").join(words.select("line", "place"), "line")
     shared = write_table(shared, "lines-shared")
     earliest = F.min(F.struct("place", "line"))

@@ -192,7 +192,9 @@ def near_duplicates(
         "minhash-nodes",
     )
     members = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    # What is summed by bucket is written before it is joined by bucket: only then can a crowded one be split.
     full = members.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key")
+    full = write_table(full, "minhash-full")
     bucketed = write_table(members.join(full, ["band", "key"], "left_semi"), "minhash-buckets")
     ids = signed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
     repeated = not ids.filter("n > 1").isEmpty()
@@ -222,7 +224,8 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members, with their components, of buckets that hold more than one component."""
     now = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     spans = now.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    return now.join(spans.filter("least < most").select("band", "key"), ["band", "key"], "left_semi")
+    undone = write_table(spans.filter("least < most").select("band", "key"), "minhash-undone")
+    return now.join(undone, ["band", "key"], "left_semi")
 
 
 def _rarity(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -285,7 +288,7 @@ def _linked(source: DataFrame, members: DataFrame, width: int, percent: int, rep
     pivots = 16
     while True:
         # More pivots than one at a time: rounds cost more than comparisons do. Whom the bucket's smallest set is too large for finds no partner in it.
-        smallest = members.groupBy("band", "key").agg(F.min("size").alias("smallest"))
+        smallest = write_table(members.groupBy("band", "key").agg(F.min("size").alias("smallest")), "minhash-smallest")
         reach = (F.col("size") - F.col("rare")) * (100 + percent) - percent * F.col("size")
         # Written, so that what follows is summed before it is dealt out: a join alone can split a crowded bucket.
         members = members.join(smallest, ["band", "key"]).filter(reach >= percent * F.col("smallest")).drop("smallest")

@@ -27,8 +27,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar shingles, the one with the least id; those without words stay."""
-    return minhash.keep_one(docs)
+    """Of documents linked by a similarity of shingles of 0.8 or more, the one with the least id; those without words stay."""
+    return minhash.keep_one(docs, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

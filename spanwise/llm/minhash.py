@@ -16,6 +16,7 @@ been pivots, so no link between groups of a bucket is lost.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,10 @@ from .memory import giving_back
 from .store import write_table
 from .text import Rolling, Texts, Words, mix, ranges, window_counts
 
-PLACES, ROWS = 64, 4
-BANDS = PLACES // ROWS
+#: Places of a signature unless told otherwise.
+PLACES = 64
+#: Rows of a band at most, places of several rows a band at most, and how often a pair at the threshold may be missed.
+ROWS, MOST_PLACES, MISSED = 4, 128, 1e-5
 PART_BYTES = 1 << 20
 #: Bits of the map of ids that tells whose sets are needed again: 8 MB at most.
 MOST_BITS = 1 << 26
@@ -39,6 +42,18 @@ RARE = 8
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): the most rows for which a pair at the threshold shares no band with a probability under ``MISSED``."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent {percent!r}: 1 to 100")
+    for rows in range(ROWS, 0, -1):
+        differs = 1 - (percent / 100) ** rows
+        bands = math.ceil(math.log(MISSED) / math.log(differs)) if differs else 1
+        if bands * rows <= MOST_PLACES:
+            break
+    return bands, rows
+
+
 def shingle_sets(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of every distinct shingle, in order of both: ``width`` lower-cased words, or all if fewer."""
     words = Words.of(texts)
@@ -61,7 +76,7 @@ def superminhash(owner: np.ndarray, hashes: np.ndarray, n: int, places: int = PL
     """The signatures (n, places) of n sets given as (set, element) pairs; places of empty sets are infinite."""
     out = np.full((n, places), np.inf)
     flat = out.reshape(-1)
-    left = np.tile(np.arange(places, dtype=np.uint8), (len(hashes), 1))  # each element's permutation, as far as drawn
+    left = np.tile(np.arange(places, dtype=np.min_scalar_type(places)), (len(hashes), 1))  # each element's permutation, as far as drawn
     active = np.arange(len(hashes))
     for j in range(places):
         if not len(active):
@@ -77,7 +92,7 @@ def superminhash(owner: np.ndarray, hashes: np.ndarray, n: int, places: int = PL
     return out
 
 
-def _sign(width: int):
+def _sign(width: int, n_bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_texts = Texts.of(batch.column(1))
@@ -91,17 +106,17 @@ def _sign(width: int):
                 if len(some):
                     digests[0, some] = np.add.reduceat(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
                     digests[1, some] = np.add.reduceat(mix(hashes + np.uint64(0x632BE59BD9B4E019)), at)
-                places = superminhash(owner, hashes, b - a).view(np.uint64)
-                bands = np.zeros((b - a, BANDS), dtype=np.uint64)
-                for r in range(ROWS):
-                    bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + places[:, r::ROWS])
+                places = superminhash(owner, hashes, b - a, n_bands * rows).view(np.uint64)
+                bands = np.zeros((b - a, n_bands), dtype=np.uint64)
+                for r in range(rows):
+                    bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + places[:, r::rows])
                 flat = pa.array(bands.view(np.int64).reshape(-1), pa.int64())
                 columns = [
                     batch.column(0).slice(a, b - a),
                     pa.array(sizes, pa.int64()),
                     pa.array(digests[0].view(np.int64), pa.int64()),
                     pa.array(digests[1].view(np.int64), pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * BANDS, pa.int32()), flat),
+                    pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * n_bands, pa.int32()), flat),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
@@ -172,9 +187,9 @@ def near_duplicates(
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
     Documents are linked where 100 * common >= ``percent`` * all shingles, of
-    ``width`` lower-cased words each. Candidates share a band of ``ROWS`` out of
-    ``PLACES`` signature places; a pair at the threshold of 85 is missed by all
-    16 bands with a probability under 1e-5. Defined cases: texts without words
+    ``width`` lower-cased words each. Candidates share a band of
+    signature places; ``banding`` has so many bands that a pair at the threshold
+    is missed by all with a probability under 1e-5. Defined cases: texts without words
     (null, empty) link with nothing and are kept; rows repeated with one id and
     text give the same row each; of rows of one id and different texts, one
     text stands for the id where links are verified; a null id takes part in no link and is its own group
@@ -182,7 +197,7 @@ def near_duplicates(
     are not read.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = write_table(source.mapInArrow(giving_back(_sign(width)), SIGNED), "minhash-signed")
+    signed = write_table(source.mapInArrow(giving_back(_sign(width, *banding(percent))), SIGNED), "minhash-signed")
     usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # Equal sets are one node, named by the least id; their bands are equal too.
     nodes = write_table(

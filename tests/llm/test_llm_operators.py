@@ -151,6 +151,35 @@ def test_minhash(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(i for i in group if group[i] == i)
 
 
+def test_banding_follows_the_threshold():
+    assert minhash.banding(85) == (16, 4) and minhash.banding(80) == (22, 4)
+    for percent in range(1, 101):
+        bands, rows = minhash.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 1e-5 and (rows == 1 or bands * rows <= minhash.MOST_PLACES)
+    with pytest.raises(ValueError):
+        minhash.banding(0)
+    one = minhash.superminhash(np.array([0]), np.array([9], np.uint64), 1, 300)
+    assert sorted(np.floor(one[0]).astype(int)) == list(range(300))
+
+
+@pytest.mark.parametrize("percent", [50, 80])
+def test_minhash_at_other_thresholds(spark, percent):
+    rng = random.Random(percent)
+    rows = []
+    for k in range(0, 90, 3):  # one word of 60 replaced takes 5 of 56 shingles from both sides
+        ws = prose(rng, 60).split()
+        rows.append((k, " ".join(ws)))
+        for j in (1, 2):
+            at = [5 + 10 * x for x in range(1 + k // 3 % 3)]
+            rows.append((k + j, " ".join(f"new{j}" if x in at else w for x, w in enumerate(ws))))
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    assert any(100 * len(sets[a] & sets[b]) < 85 * len(sets[a] | sets[b]) for a, b in links)
+    group = groups_of(sets, links)
+    left = minhash.keep_one(frame(spark, rows), percent=percent)
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(i for i in group if group[i] == i)
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(5)
     shared, a, b = (rng.integers(0, 1 << 62, n, dtype=np.uint64) for n in (300, 40, 60))

@@ -58,3 +58,16 @@ def test_pipeline(spark):
     ids = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
     assert ids and ids <= {r["doc_id"] for r in clean.select("doc_id").collect()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "minhash_dedup", "decontaminate", "best_fit_packing"]
+
+
+def test_near_dedup_stage_links_at_four_fifths(spark):
+    """Near copies of a similarity between 0.8 and 0.85 go, those under 0.8 stay."""
+    texts, want = [], []
+    for k in range(12):
+        ws = [f"w{k}x{j}" for j in range(60)]
+        shared = [54, 50, 49][k % 3]  # of 56 shingles in each: 54/58, 50/62 = 0.806, 49/63 = 0.778
+        texts += [" ".join(ws), " ".join([*ws[: shared + 4], *(f"v{k}x{j}" for j in range(56 - shared))])]
+        want += [2 * k] if k % 3 < 2 else [2 * k, 2 * k + 1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = dict(corpus_pipeline.STAGES)["minhash_dedup"](spark, docs, DATA)
+    assert sorted(r["doc_id"] for r in left.collect()) == want

@@ -131,7 +131,7 @@ def _rows(column: pa.Array) -> list[np.ndarray]:
 
 
 def _document_counts(batches):
-    """Per task, in how many texts of each class a slot occurs: one row of two fixed-size arrays."""
+    """Per task, in how many texts of each class a slot occurs: every slot that does, as sums over tasks decide; 2**20 rows at most."""
     counts = np.zeros((2, 1 << TABLE_BITS), dtype=np.int32)
     for batch in batches:
         positive = np.asarray(batch.column(1))
@@ -140,7 +140,7 @@ def _document_counts(batches):
             owner, slot = features(texts.part(a, b))
             for k in (0, 1):
                 np.add.at(counts[k], slot[positive[a:b][owner] == k], 1)
-    slots = np.flatnonzero(counts.sum(axis=0) >= 2)
+    slots = np.flatnonzero(counts.any(axis=0))
     yield pa.RecordBatch.from_arrays(
         [pa.array(slots, pa.int64()), pa.array(counts[0, slots], pa.int64()), pa.array(counts[1, slots], pa.int64())],
         names=["slot", "unlabelled", "positive"],

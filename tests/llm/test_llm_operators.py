@@ -533,6 +533,27 @@ def test_toxicity(spark):
     assert toxicity.score_documents(frame(spark, []), marks).count() == 0
 
 
+def test_document_counts_do_not_depend_on_tasks():
+    """A term that is in one text of each task counts as often as in one task that holds all texts."""
+    rng = random.Random(21)
+    texts = [prose(rng, 12) + " vilewort" for _ in range(40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t]), pa.array([k % 2], pa.int32())], names=["text", "positive"]) for k, t in enumerate(texts)]
+
+    def summed(tasks):
+        out = Counter()
+        for task in tasks:
+            for part in toxicity._document_counts(iter(task)):
+                for slot, u, p in zip(*(part.column(c).to_pylist() for c in range(3))):
+                    out[slot, 0] += u
+                    out[slot, 1] += p
+        return +out
+
+    whole = summed([batches])
+    assert summed([[b] for b in batches]) == summed([batches[:7], batches[7:]]) == whole
+    want = Counter((slot, k % 2) for k, t in enumerate(texts) for slot in toxicity.features(text.Texts.of(pa.array([t])))[1].tolist())
+    assert whole == want and max(whole.values()) == 20
+
+
 def test_nnpu_steps_back_when_the_risk_turns_negative():
     rng = np.random.default_rng(1)
     pos = toxicity._Sparse([np.array([0, 1 + rng.integers(50)]) for _ in range(30)], 60)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 #: One edit allowed for so many characters of an item: pieces have about this length.
 CHARS_PER_EDIT = 16
-#: Items with fewer characters are no evidence of a leak: they occur by chance.
+#: Items with fewer characters are matched without edits, as whole words: inside others they occur by chance.
 MIN_CHARS = 24
 SLICE_CHARS = 4_000_000
 
@@ -29,6 +29,19 @@ def normalise(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def budget_of(item: str) -> int:
+    return len(item) // CHARS_PER_EDIT if len(item) >= MIN_CHARS else 0
+
+
+def whole_words(text: str, a: int, b: int) -> bool:
+    """Whether neither edge of ``text[a:b]`` parts two characters of one word."""
+
+    def inside(at: int) -> bool:
+        return 0 < at < len(text) and all(c.isalnum() or c == "_" for c in text[at - 1 : at + 1])
+
+    return not inside(a) and not inside(b)
+
+
 def pieces(length: int, budget: int) -> list[tuple[int, int]]:
     """``budget + 1`` spans that cover ``length`` characters, as even as can be."""
     n = budget + 1
@@ -94,6 +107,11 @@ class Matcher:
         found = []
         for k, begins in starts.items():
             item_id, item, budget = self.rows[k]
+            if len(item) < MIN_CHARS:  # one piece, the item itself: each hit is an occurrence, and they come in order
+                at = next((at for at in begins if whole_words(text, at, at + len(item))), None)
+                if at is not None:
+                    found.append((item_id, 0, at, at + len(item)))
+                continue
             at = text.find(item)
             if at >= 0:
                 found.append((item_id, 0, at, at + len(item)))
@@ -116,7 +134,8 @@ def slices(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     """The items in slices of bounded size, whatever the size of the benchmark.
 
     Only items are brought to the driver, one slice at a time; items with
-    under ``MIN_CHARS`` normalised characters, null ones too, match nothing.
+    under ``MIN_CHARS`` normalised characters have no budget; those without
+    characters, null ones too, match nothing.
     """
     rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -125,8 +144,8 @@ def slices(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     for k in range(n):
         part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
         texts = [(r["id"], normalise(r["text"])) for r in part.collect()]
-        kept = sorted({(i, t) for i, t in texts if len(t) >= MIN_CHARS}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        out.append(Items([(i, t, len(t) // CHARS_PER_EDIT) for i, t in kept]))
+        kept = sorted({(i, t) for i, t in texts if t}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        out.append(Items([(i, t, budget_of(t)) for i, t in kept]))
     return out
 
 
@@ -156,7 +175,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     where the distance is 0 and else within the budget. Defined cases: a null or
     empty text matches nothing; repeated rows give repeated hits; of several
     occurrences of an item in one text the closest is reported, the first of
-    equals; an empty benchmark matches nothing; other columns are not read.
+    equals; items under ``MIN_CHARS`` characters match exactly, as whole words; an empty benchmark matches nothing; other columns are not read.
     """
     out = None
     for items in slices(benchmark):

@@ -307,6 +307,21 @@ def test_decontaminate(spark):
     assert decontaminate.decontaminate(frame(spark, []), bench).count() == 0
 
 
+def test_short_items_match_exactly_as_whole_words(spark):
+    items = [(1, "Blue  Whale"), (2, "c++"), (3, "x" * 23), (4, "y" * 24), (5, " "), (6, None), (7, "")]
+    docs = [
+        (0, "a blue whale"), (1, "BLUE\nWHALE, he said"), (2, "blue whales swim"), (3, "blue whales; a blue whale"), (4, "a blue whele"), (5, None),
+        (6, "in c++17 or c++."), (7, "objc++"), (8, "(" + "x" * 23 + ")"), (9, "x" * 24), (10, "x" * 22), (11, "y" * 23), (12, ""),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = rows_of(decontaminate.decontaminate(frame(spark, docs), bench), "doc_id", "item_id", "distance", "start", "end")
+    short = [(0, 1, 0, 2, 12), (1, 1, 0, 0, 10), (3, 1, 0, 15, 25), (6, 2, 0, 3, 6), (8, 3, 0, 1, 24)]
+    assert [r for r in got if r[1] != 4] == sorted(short, key=repr)
+    assert {(r[0], r[2]) for r in got if r[1] == 4} == {(11, 1)}
+    clean = decontaminate.keep_uncontaminated(frame(spark, docs), bench)
+    assert {r["doc_id"] for r in clean.collect()} == {2, 4, 5, 7, 9, 10, 12}
+
+
 def test_benchmark_slices(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SLICE_CHARS", 300)
     rng = random.Random(8)

@@ -2,12 +2,16 @@
 
 import glob
 import os
+import random
+import re
+from itertools import combinations
 
 import duckdb
 import pytest
 
 import corpus_pipeline
-from spanwise.llm import queries, toxicity
+from spanwise.llm import decontaminate, packing, queries, tokenizer, toxicity
+from test_llm_operators import distance, groups_of, prose, shingles
 
 DATA = "/root/testdata/sf0.001"
 
@@ -71,3 +75,64 @@ def test_near_dedup_stage_links_at_four_fifths(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     left = dict(corpus_pipeline.STAGES)["minhash_dedup"](spark, docs, DATA)
     assert sorted(r["doc_id"] for r in left.collect()) == want
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """``run`` on small tables without toxic labels, row by row: which documents reach the last stage, and how they are cut."""
+    rng = random.Random(31)
+    rows = []
+    for k in range(40):
+        ws = prose(rng, 60).split()
+        rows.append(" ".join(ws))
+        at = [5 + 10 * x for x in range(k % 4)]
+        rows.append(" ".join("new" if x in at else w for x, w in enumerate(ws)))
+        if k % 5 == 0:
+            rows.append("  ".join(ws))
+        if k % 2:
+            rows.append(" ".join(ws[: 58 - k % 8] + prose(rng, 2 + k % 8).split()))
+    items = [(k, prose(rng, 15)) for k in range(6)] + [(7, "blue whale"), (8, "")]
+    for k, (_, item) in enumerate(items[:7]):
+        edited = item[:9] + "#" * (k % 4) + item[9 + k % 4 :]
+        rows += [f"{prose(rng, 30)} {x} {prose(rng, 20)}" for x in (item.upper(), edited)]
+    rows += [prose(rng, 30) + " blue whales " + prose(rng, 9), "", prose(rng, 3000)]
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    docs = list(zip(order, rows))
+    for name, data, schema in (
+        ("documents", docs, "doc_id long, text string"),
+        ("labels", [(i, 0) for i, _ in docs[::3]], "doc_id long, toxic int"),
+        ("benchmark", items, "item_id long, text string"),
+    ):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    first = {}
+    for i, t in sorted(docs):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), (i, t))
+    exact = dict(first.values())
+    sets = {i: shingles(t) for i, t in exact.items()}
+    links = [(a, b) for a, b in combinations(sets, 2) if sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    group = groups_of(sets, links)
+    near = {i: t for i, t in exact.items() if group[i] == i}
+
+    def leaks(t):
+        t = decontaminate.normalise(t)
+        for _, item in items:
+            item = decontaminate.normalise(item)
+            if len(item) >= 24 and (item in t or len(t) < 5000 and distance(item, t) <= len(item) // 16):
+                return True
+            if 0 < len(item) < 24 and re.search(rf"(?<!\w){re.escape(item)}(?!\w)", t):
+                return True
+        return False
+
+    want = [(i, t) for i, t in near.items() if not leaks(t)]
+    assert len(docs) > len(exact) > len(near) > len(want)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    pieces = packing.pack_documents(spark.createDataFrame(want, "doc_id long, text string"), tokenizer.default_path("byte_bpe_50k.json"))
+    cut = ("doc_id", "piece", "start", "length", "ids_crc32")
+    assert sorted(tuple(r[c] for c in cut) for r in out) == sorted(tuple(r) for r in pieces.select(*cut).collect())
+    assert {r["doc_id"] for r in out} == {i for i, _ in want}
+    ends = {}
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 2048

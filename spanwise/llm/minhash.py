@@ -35,6 +35,8 @@ PLACES = 64
 #: Rows of a band at most, places of several rows a band at most, and how often a pair at the threshold may be missed.
 ROWS, MOST_PLACES, MISSED = 4, 128, 1e-5
 PART_BYTES = 1 << 20
+#: Elements whose permutations are drawn at a time: a longer text takes no more memory for them.
+SLICE = 1 << 18
 #: Bits of the map of ids that tells whose sets are needed again: 8 MB at most.
 MOST_BITS = 1 << 26
 #: A shingle is rare among open nodes if so many hold it at most.
@@ -75,6 +77,13 @@ def shingle_sets(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
 def superminhash(owner: np.ndarray, hashes: np.ndarray, n: int, places: int = PLACES) -> np.ndarray:
     """The signatures (n, places) of n sets given as (set, element) pairs; places of empty sets are infinite."""
     out = np.full((n, places), np.inf)
+    for at in range(0, len(hashes), SLICE):  # minima combine, and what earlier slices have left stops later ones sooner
+        _deal(owner[at : at + SLICE], hashes[at : at + SLICE], places, out)
+    return out
+
+
+def _deal(owner: np.ndarray, hashes: np.ndarray, places: int, out: np.ndarray) -> None:
+    """Lower the signatures ``out`` by some elements."""
     flat = out.reshape(-1)
     left = np.tile(np.arange(places, dtype=np.min_scalar_type(places)), (len(hashes), 1))  # each element's permutation, as far as drawn
     active = np.arange(len(hashes))
@@ -89,7 +98,6 @@ def superminhash(owner: np.ndarray, hashes: np.ndarray, n: int, places: int = PL
         np.minimum.at(flat, owner[active] * places + place, fraction + j)
         open_sets = out.max(axis=1) >= j + 1
         active = active[open_sets[owner[active]]]
-    return out
 
 
 def _sign(width: int, n_bands: int, rows: int):

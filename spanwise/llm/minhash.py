@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .memory import giving_back
-from .store import write_table
+from .store import write_bucketed, write_table
 from .text import Rolling, Texts, Words, mix, ranges, window_counts
 
 #: Places of a signature unless told otherwise.
@@ -282,9 +282,13 @@ def _linked(source: DataFrame, members: DataFrame, width: int, percent: int, rep
     if members.isEmpty():
         return None
     shared = source.sparkSession.sparkContext.broadcast(_bit_map(members.select("node").distinct()))  # MOST_BITS
-    sets = write_table(source.mapInArrow(giving_back(_sets(width, shared)), "node long, shingles array<long>"), "minhash-sets")
+    sets = source.mapInArrow(giving_back(_sets(width, shared)), "node long, shingles array<long>")
+    buckets = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = sets.repartition(buckets, "node")
     if repeated:  # rows of one id: one of them stands for it
-        sets = write_table(sets.groupBy("node").agg(F.min("shingles").alias("shingles")), "minhash-sets")
+        sets = sets.groupBy("node").agg(F.min("shingles").alias("shingles"))
+    # A set moves here, once; the joins by node below take it from its bucket, one file each.
+    sets = write_bucketed(sets, "minhash-sets", buckets, "node")
     ordered = [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
 
     least = members.groupBy("band", "key").agg(F.min(F.struct("node", "size")).alias("pivot"))

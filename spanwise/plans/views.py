@@ -1,13 +1,13 @@
 """The driver's tables as interval frames, in DataFrames and in SQL.
 
-``items``: line items by order and line, in days, grouped by supplier;
+``items``: every line item, in days, grouped by supplier;
 ``parts``: the same grouped by part; ``orders``: in days, grouped by customer
 modulo the number of suppliers; ``events``: in seconds, grouped by user.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.intervals import as_intervals, read_intervals
@@ -21,26 +21,32 @@ def _day(c: str) -> Column:
     return F.datediff(F.col(c), F.lit("1970-01-01")).cast("long")
 
 
+#: The columns that tell line items of one order and line number apart, in the order that numbers them.
+_APART = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+#: Rows repeated under one order and line number at most: ids leave room for so many, and the number is never reached in practice.
+_ROOM = 1009
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Order and line are not unique in the data: one row of each pair.
-    return _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.min("l_suppkey").alias("supp"),
-        F.min("l_partkey").alias("part"),
-        F.min(_day("l_shipdate")).alias("day"),
-        F.max(F.floor("l_quantity")).cast("long").alias("quantity"),
-        F.min("l_linestatus").alias("status"),
+    """Every line item with a unique ``idx``: order and line number are not unique, so rows are numbered within them."""
+    order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*_APART)
+    idx = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * _ROOM + F.row_number().over(order) - 1
+    return _table(spark, sf_dir, "lineitem").select(
+        idx.cast("long").alias("idx"),
+        F.col("l_suppkey").alias("supp"),
+        F.col("l_partkey").alias("part"),
+        _day("l_shipdate").alias("day"),
+        F.floor("l_quantity").cast("long").alias("quantity"),
+        F.col("l_linestatus").alias("status"),
     )
 
 
-
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    idx = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    return as_intervals(_lines(spark, sf_dir), idx, "day", F.col("day") + F.col("quantity"), F.col("supp"), F.col("status") == "O")
+    return as_intervals(_lines(spark, sf_dir), "idx", "day", F.col("day") + F.col("quantity"), F.col("supp"), F.col("status") == "O")
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    idx = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    return as_intervals(_lines(spark, sf_dir), idx, "day", F.col("day") + F.col("quantity"), F.col("part"), F.col("part") % 2 == 0)
+    return as_intervals(_lines(spark, sf_dir), "idx", "day", F.col("day") + F.col("quantity"), F.col("part"), F.col("part") % 2 == 0)
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,11 +64,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same views for DuckDB, as common table expressions.
 SQL = {
-    "lines": """lines AS (
-        SELECT l_orderkey * 8 + l_linenumber AS idx, min(l_suppkey) AS supp, min(l_partkey) AS part,
-               CAST(min(datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) AS BIGINT) AS day,
-               CAST(max(floor(l_quantity)) AS BIGINT) AS quantity, min(l_linestatus) AS status
-        FROM lineitem GROUP BY l_orderkey, l_linenumber)""",
+    "lines": f"""lines AS (
+        SELECT CAST((l_orderkey * 8 + l_linenumber) * {_ROOM} - 1 + row_number() OVER (
+                   PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(_APART)}) AS BIGINT) AS idx,
+               l_suppkey AS supp, l_partkey AS part, CAST(datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS day,
+               CAST(floor(l_quantity) AS BIGINT) AS quantity, l_linestatus AS status FROM lineitem)""",
     "items": """items AS (SELECT idx, supp AS grp, day AS s, day + quantity AS e, status = 'O' AS fwd FROM lines)""",
     "parts": """parts AS (SELECT idx, part AS grp, day AS s, day + quantity AS e, part % 2 = 0 AS fwd FROM lines)""",
     "ord": """ord AS (

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.running import Edges, running, segment_width
+
 
 def outside_bounds(df: DataFrame, clip: bool = False, only_right: bool = False, length: Column | str = "length") -> DataFrame:
     """Drop, or ``clip``, rows outside ``[0, length)``: ``idx, start, end``. ``only_right`` leaves the left end alone.
@@ -69,22 +71,77 @@ def sort_groups(df: DataFrame, by: Sequence[str] = ("grp",)) -> DataFrame:
     return df.orderBy(*by, "idx")
 
 
-def rank_in_group(df: DataFrame, keys: Sequence[Column], by: Sequence[str] = ("grp",)) -> DataFrame:
-    """``idx`` and its ``rank`` from 0 in its group."""
-    return df.select("idx", (F.row_number().over(Window.partitionBy(*by).orderBy(*keys)) - 1).alias("rank"))
+def rank_in_group(df: DataFrame, keys: Sequence[Column], by: Sequence[str] = ("grp",), width: int | Edges | None = 0) -> DataFrame:
+    """``idx`` and its ``rank`` from 0 in its group. ``width`` as in ``running``; 0 finds out whether it is needed."""
+    order = [f"__k{k}" for k in range(len(keys))]
+    rows = df.select(*by, "idx", *[x.alias(c) for x, c in zip(keys, order)])
+    if width == 0:
+        width = segment_width(rows, by, order)
+    ran = running(rows, list(by), order, {"rank": ("sum", F.lit(1), True)}, width)
+    return ran.select("idx", (F.col("rank") - 1).alias("rank"))
+
+
+def widened(df: DataFrame, by: Sequence[str] = ("grp",), slack: int = 0, reverse: Column | str | None = None) -> DataFrame:
+    """Rows made longer by ``slack`` on both sides: groups, ``idx, start, end``; both ends negated where ``reverse`` holds."""
+    flag = F.lit(False) if reverse is None else F.col(reverse) if isinstance(reverse, str) else reverse
+    sign = F.when(flag, F.lit(-1)).otherwise(F.lit(1))
+    return df.select(*by, "idx", (sign * (F.col("start") - slack)).alias("start"), (sign * (F.col("end") + slack)).alias("end"))
+
+
+def widened_ranks(
+    df: DataFrame, by: Sequence[str] = ("grp",), slack: int = 0, reverse: Column | str | None = None, with_ends: bool = True, width: int | Edges | None = 0
+) -> DataFrame:
+    """``widened`` with the ``rank`` of each row in its group, by start, end if ``with_ends``, and idx."""
+    rows = widened(df, by, slack, reverse)
+    return rows.join(rank_in_group(rows, sort_keys(rows, None, with_ends), by, width), "idx").select(*by, "idx", "start", "end", "rank")
+
+
+_MOST = (1 << 63) - 1
+
+
+def _pair(start: Column, end: Column, *more: Column) -> Column:
+    return F.inline(F.array(F.struct(start.alias("pos"), F.lit(True).alias("is_start"), *more), F.struct(end.alias("pos"), F.lit(False).alias("is_start"), *more)))
 
 
 def events(df: DataFrame, by: Sequence[str] = ("grp",), slack: int = 0, set_no: int = 1) -> DataFrame:
     """Start and end events: groups, ``pos, is_start, set_no, idx``; ends come first at a position when sorted so."""
-    pair = F.array(
-        F.struct(F.col("start").alias("pos"), F.lit(True).alias("is_start")),
-        F.struct((F.col("end") + slack).alias("pos"), F.lit(False).alias("is_start")),
-    )
-    return df.select(*by, "idx", F.inline(pair)).select(*by, "pos", "is_start", F.lit(set_no).alias("set_no"), "idx")
+    rows = df.select(*by, "idx", _pair(F.col("start"), F.col("end") + slack))
+    return rows.select(*by, "pos", "is_start", F.lit(set_no).alias("set_no"), "idx")
 
 
-def positions(df: DataFrame, edge: str, by: Sequence[str] = ("grp",), slack: int = 0) -> DataFrame:
-    """One edge of each row, moved left by ``slack``: groups, ``pos, idx``."""
+def events_of_two(
+    a: DataFrame, b: DataFrame, by: Sequence[str] = ("grp",), slack: int = 0, clamp: bool = False, spans: bool = False
+) -> DataFrame:
+    """Events of two sets, the first made longer by ``slack`` on both sides: groups, ``pos, is_start, set_no, idx``.
+
+    ``clamp`` keeps starts from falling under 0 and ends from passing the greatest number; ``spans`` adds the
+    (longer) ``start, end`` of each event's row.
+    """
+    low, high = F.col("start") - slack, F.col("end") + slack
+    if clamp:
+        low = F.when(F.col("start") > slack, low).otherwise(F.lit(0).cast("long"))
+        high = F.coalesce(F.try_add(F.col("end"), F.lit(slack)), F.lit(_MOST))
+
+    def one(df: DataFrame, s: Column, e: Column, set_no: int) -> DataFrame:
+        more = [s.alias("start"), e.alias("end")] if spans else []
+        rows = df.select(*by, F.col("idx"), _pair(s, e, *more))
+        return rows.select(*by, "pos", "is_start", F.lit(set_no).alias("set_no"), "idx", *(["start", "end"] if spans else []))
+
+    return one(a, low, high, 1).unionByName(one(b, F.col("start"), F.col("end"), 2))
+
+
+def edge_events(df: DataFrame, edge: str, by: Sequence[str] = ("grp",), slack: int = 0, negate: bool = False, set_no: int = 1) -> DataFrame:
+    """One edge of each row as events, starts moved left by ``slack`` and ends right: groups, ``pos, is_start, set_no, idx``."""
+    pos = F.col(_edge(edge)) + (-slack if edge == "start" else slack)
+    return df.select(*by, (-pos if negate else pos).alias("pos"), F.lit(edge == "start").alias("is_start"), F.lit(set_no).alias("set_no"), "idx")
+
+
+def _edge(edge: str) -> str:
     if edge not in ("start", "end"):
         raise ValueError(f"edge {edge!r}: start or end")
-    return df.select(*by, (F.col(edge) - slack).alias("pos"), "idx")
+    return edge
+
+
+def positions(df: DataFrame, edge: str, by: Sequence[str] = ("grp",), slack: int = 0) -> DataFrame:
+    """One edge of each row, moved left by ``slack``: groups, ``pos, idx``."""
+    return df.select(*by, (F.col(_edge(edge)) - slack).alias("pos"), "idx")

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import contains_expr, overlaps_expr
-from ..plans.binning import binned_pairs
-from ..plans.running import running, segment_width
+from ..plans.binning import Survey, binned_pairs
+from ..plans.running import Edges, running, segment_width
 
 OVERLAP_TYPES = ("all", "first", "last")
 DIRECTIONS = ("any", "forward", "backward")
@@ -35,21 +35,34 @@ def _target(b: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def overlap_pairs(
-    a: DataFrame, b: DataFrame, by: Sequence[str] = ("grp",), slack: int = 0, contained: bool = False, binned: bool | None = None
+    a: DataFrame,
+    b: DataFrame,
+    by: Sequence[str] = ("grp",),
+    slack: int = 0,
+    contained: bool = False,
+    binned: bool | None = None,
+    levels: Survey | None = None,
 ) -> DataFrame:
     """All matching pairs: ``idx, idx2, start, end, start2, end2`` and the groups.
 
-    Bins bound what a task joins, whatever the number of groups. A negative slack can match
-    intervals that do not overlap, so it joins on the groups alone; so does ``binned=False``.
+    Bins bound what a task joins, whatever the number of groups; ``binned=False`` joins on the groups alone.
+    ``levels`` as in ``binned_pairs``.
     """
     by = list(by)
     rule = (contains_expr if contained else overlaps_expr)("start", "end", "start2", "end2", slack)
     left = _known(a, by).select(*by, "idx", "start", "end")
     right = _target(_known(b, by), by)
     keep = [F.col(c) for c in (*by, "idx", "idx2", "start", "end", "start2", "end2")]
-    if slack < 0 or binned is False:
+    if binned is False:
         return left.join(right, by).filter(rule).select(*keep)
-    return binned_pairs(left, right, by, slack, rule, keep)
+    low, high = F.col("start") - slack, F.col("end") + slack
+    if slack < 0 and contained:
+        # A query that shrinks past itself turns into [high, low]: targets that begin by its end and end from its start on match.
+        turned = low >= high
+        low, high = F.when(turned, high - 1).otherwise(low), F.when(turned, low + 1).otherwise(high)
+    elif slack < 0:  # who overlaps by so much overlaps
+        low, high = F.col("start"), F.col("end")
+    return binned_pairs(left, right, by, low, high, rule, keep, levels)
 
 
 def overlaps(
@@ -83,7 +96,7 @@ def intersect(a: DataFrame, b: DataFrame, by: Sequence[str] = ("grp",)) -> DataF
     return pairs.select(*by, "idx", "idx2", F.greatest("start", "start2").alias("start"), F.least("end", "end2").alias("end"))
 
 
-def count_overlaps(a: DataFrame, b: DataFrame, by: Sequence[str] = ("grp",), slack: int = 0, width: int | None = 0) -> DataFrame:
+def count_overlaps(a: DataFrame, b: DataFrame, by: Sequence[str] = ("grp",), slack: int = 0, width: int | Edges | None = 0) -> DataFrame:
     """``idx, n_overlaps`` of every query row, 0 where none; without making pairs if ``slack`` is not negative.
 
     The matches of a row are the targets that start before its end, less those that end by its start: two running
@@ -101,13 +114,17 @@ def count_overlaps(a: DataFrame, b: DataFrame, by: Sequence[str] = ("grp",), sla
             *by, pos.alias("pos"), F.lit(turn).alias("turn"), F.lit(opened).alias("opened"), F.lit(closed).alias("closed"), idx.alias("idx"), F.lit(sign).alias("sign")
         )
 
-    # At one position: ends, then queries, then starts.
+    # At one position: ends, then queries, then starts. Targets are summed by position, so that one that very many share is one row.
     targets = _known(b, by)
-    all_events = events(targets, F.col("end") + slack, 0, 0, 1, 0).unionByName(events(targets, F.col("start"), 2, 1, 0, 0))
-    all_events = all_events.unionByName(events(known, F.col("start"), 1, 0, 0, -1)).unionByName(events(known, F.col("end") + slack, 1, 0, 0, 1))
+    sides = events(targets, F.col("end") + slack, 0, 0, 1, 0).unionByName(events(targets, F.col("start"), 2, 1, 0, 0))
     if width == 0:
-        width = segment_width(all_events, by, "pos")
-    counted = running(all_events, by, ["pos", "turn"], "pos", {"n_open": ("sum", F.col("opened"), True), "n_closed": ("sum", F.col("closed"), True)}, width)
+        width = segment_width(sides.unionByName(events(known, F.col("start"), 1, 0, 0, -1)), by, ["pos", "turn", "idx"])
+    if width is not None:
+        keys = [*by, "pos", "turn", "idx", "sign"]
+        sides = sides.groupBy(*keys).agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed"))
+    all_events = sides.unionByName(events(known, F.col("start"), 1, 0, 0, -1)).unionByName(events(known, F.col("end") + slack, 1, 0, 0, 1))
+    sums = {"n_open": ("sum", F.col("opened"), True), "n_closed": ("sum", F.col("closed"), True)}
+    counted = running(all_events, by, ["pos", "turn", "idx"], sums, width)
     value = F.when(F.col("sign") == 1, F.col("n_open")).when(F.col("sign") == -1, -F.col("n_closed"))
     counts = counted.filter("sign <> 0").groupBy("idx").agg(F.sum(value).alias("n"))
     return a.select("idx").join(counts, "idx", "left").select("idx", F.coalesce("n", F.lit(0)).cast("long").alias("n_overlaps"))
@@ -122,6 +139,9 @@ def non_overlaps(a: DataFrame, b: DataFrame, by: Sequence[str] = ("grp",), slack
 def overlap_join(a: DataFrame, b: DataFrame, by: Sequence[str] = ("grp",), slack: int = 0, how: str = "inner", contained: bool = False, suffix: str = "2") -> DataFrame:
     """Whole rows joined by overlap; ``how``: inner, left, left_semi or left_anti. Columns of ``b`` get ``suffix``."""
     how = _one_of(how, ("inner", "left", "left_semi", "left_anti"), "how")
+    if how in ("left_semi", "left_anti") and not contained:  # counted, so that no pairs are made
+        some = count_overlaps(a.select(*by, "idx", "start", "end"), b, by, slack).filter("n_overlaps > 0").select("idx")
+        return a.join(some, "idx", how)
     pairs = overlaps(a, b, by, slack, "all", contained)
     if how in ("left_semi", "left_anti"):
         return a.join(pairs.select("idx").distinct(), "idx", how)
@@ -138,11 +158,13 @@ def nearest(
     include_overlaps: bool = True,
     direction: str = "any",
     sort_output: bool = False,
+    width: int | Edges | None = 0,
 ) -> DataFrame:
     """``idx, idx2, distance``: targets at the ``k`` least distinct distances of each query row, all ties kept.
 
     Overlaps (within ``slack``) have distance 0; others the gap plus 1, measured from the query moved left by
-    ``slack``. ``forward`` looks right, ``backward`` left, by coordinates alone.
+    ``slack``. ``forward`` looks right, ``backward`` left, by coordinates alone. ``width`` as in ``running``; 0 finds
+    out whether a group is too large for one task.
     """
     way = _one_of(direction, DIRECTIONS, "direction")
     by = list(by)
@@ -151,13 +173,16 @@ def nearest(
     if k == 0:
         return a.select("idx", F.col("idx").alias("idx2"), F.col("idx").alias("distance")).limit(0)
     queries, targets = _known(a, by), _known(b, by)
+    if width == 0:
+        ends = [x.select(*by, F.col("start").alias("p"), F.lit(t).alias("turn"), i.alias("idx")) for x, t, i in ((queries, 1, F.col("idx")), (targets, 0, F.lit(None).cast("long")))]
+        width = segment_width(ends[0].unionByName(ends[1]), by, ["p", "turn", "idx"])
     parts = []
     if include_overlaps:
         parts.append(overlaps(a, b, by, slack).select("idx", "idx2", F.lit(0).cast("long").alias("distance")))
     if way in ("any", "backward"):
-        parts.append(_to_one_side(queries.select(*by, "idx", (F.col("start") - slack).alias("pos")), targets, by, k, "end", 1))
+        parts.append(_to_one_side(queries.select(*by, "idx", (F.col("start") - slack).alias("pos")), targets, by, k, "end", 1, width))
     if way in ("any", "forward"):
-        parts.append(_to_one_side(queries.select(*by, "idx", (F.col("end") - slack).alias("pos")), targets, by, k, "start", -1))
+        parts.append(_to_one_side(queries.select(*by, "idx", (F.col("end") - slack).alias("pos")), targets, by, k, "start", -1, width))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
@@ -166,34 +191,43 @@ def nearest(
     return out.orderBy("idx", "distance", "idx2") if sort_output else out
 
 
-def _to_one_side(queries: DataFrame, targets: DataFrame, by: list[str], k: int, edge: str, sign: int) -> DataFrame:
+def _to_one_side(queries: DataFrame, targets: DataFrame, by: list[str], k: int, edge: str, sign: int, width: int | Edges | None) -> DataFrame:
     """Targets whose ``edge`` is at the ``k`` nearest distinct positions on one side of ``pos``.
 
     ``sign`` 1 looks back (edges at or before), -1 ahead. Positions are numbered, a running maximum gives each query
     the number of the nearest one, and numbers are joined: no range join.
     """
     edges = targets.select(*by, (sign * F.col(edge)).alias("p")).distinct()
-    numbered = edges.withColumn("number", F.row_number().over(Window.partitionBy(*by).orderBy("p")))
-    both = numbered.select(*by, "p", "number", F.lit(None).cast("long").alias("idx"), F.lit(0).alias("turn")).unionByName(
-        queries.select(*by, (sign * F.col("pos")).alias("p"), F.lit(None).cast("int").alias("number"), "idx", F.lit(1).alias("turn"))
-    )
-    seen = Window.partitionBy(*by).orderBy("p", "turn").rowsBetween(Window.unboundedPreceding, 0)
-    last = both.withColumn("last", F.max("number").over(seen)).filter("turn = 1 AND last IS NOT NULL")
+    turned = queries.select(*by, (sign * F.col("pos")).alias("p"), F.lit(None).cast("long").alias("number"), "idx", F.lit(1).alias("turn"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumns({"idx": F.lit(None).cast("long"), "turn": F.lit(0)})
+
+    if isinstance(width, Edges):  # found on starts: find the edges of what is ordered here
+        width = segment_width(placed(edges).unionByName(turned.drop("number")), by, ["p", "turn", "idx"])
+    numbered = running(placed(edges), by, ["p", "turn", "idx"], {"number": ("sum", F.lit(1).cast("long"), True)}, width)
+    both = numbered.unionByName(turned)
+    last = running(both, by, ["p", "turn", "idx"], {"last": ("max", F.col("number"), True)}, width)
+    last = last.filter("turn = 1 AND last IS NOT NULL")
     steps = F.sequence(F.greatest(F.col("last") - (k - 1), F.lit(1)), F.col("last"))
-    wanted = last.select(*by, "idx", F.col("p").alias("own"), F.explode(steps).alias("number"))
-    at = wanted.join(numbered, [*by, "number"])
+    wanted = last.select(*by, F.col("idx"), F.col("p").alias("own"), F.explode(steps).alias("number"))
+    at = wanted.join(numbered.select(*by, "p", "number"), [*by, "number"])
     rows = targets.select(*by, F.col("idx").alias("idx2"), (sign * F.col(edge)).alias("p"))
     return at.join(rows, [*by, "p"]).select("idx", "idx2", (F.col("own") - F.col("p") + 1).cast("long").alias("distance"))
 
 
-def map_to_global(exons: DataFrame, queries: DataFrame, sort_output: bool = False) -> DataFrame:
+def map_to_global(exons: DataFrame, queries: DataFrame, sort_output: bool = False, levels: Survey | None = None) -> DataFrame:
     """Project local queries onto the genome: ``idx, chr, start, end, fwd``, one row per exon touched.
 
     ``exons``: ``tx, local_start, local_end, chr, genome_start, genome_end, fwd``; ``queries``: ``idx, tx, start,
     end, fwd``. Parts outside all exons vanish.
     """
     local = queries.select("tx", "idx", F.col("start").alias("qs"), F.col("end").alias("qe"), F.col("fwd").alias("q_fwd"))
-    meets = local.join(exons, "tx").filter((F.col("qs") < F.col("local_end")) & (F.col("local_start") < F.col("qe")))
+    local = local.dropna(subset=["tx", "qs", "qe"])
+    pieces = exons.dropna(subset=["tx", "local_start", "local_end"]).withColumns({"start2": F.col("local_start"), "end2": F.col("local_end")})
+    names = ["idx", "qs", "qe", "q_fwd", "local_start", "local_end", "chr", "genome_start", "genome_end", "fwd"]
+    # By bins inside the transcript: one with very many exons and queries does not meet itself in full.
+    meets = binned_pairs(local, pieces, ["tx"], F.col("qs"), F.col("qe"), F.lit(True), [F.col(c) for c in names], levels)
     o1 = F.greatest("qs", "local_start") - F.col("local_start")
     o2 = F.least("qe", "local_end") - F.col("local_start")
     out = meets.select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import tile_start_expr
-from ..plans.running import running, segment_width
+from ..plans.running import Edges, running, segment_width
 
 
 def _positive(value: int, what: str) -> None:
@@ -39,7 +39,7 @@ def tile_grouped(df: DataFrame, tile_size: int, by: Sequence[str] = ("grp",)) ->
     return tile(df, tile_size, list(by))
 
 
-def window_grouped(df: DataFrame, window_size: int, by: Sequence[str] = ("grp",), order_by: str = "idx", width: int | None = 0) -> DataFrame:
+def window_grouped(df: DataFrame, window_size: int, by: Sequence[str] = ("grp",), order_by: str = "idx", width: int | Edges | None = 0) -> DataFrame:
     """Cut rows every ``window_size`` positions along their group's rows laid end to end: ``idx, piece_no, start, end``.
 
     Forward rows of a group are measured from their left end in order of ``order_by``, others from their right end.
@@ -49,8 +49,8 @@ def window_grouped(df: DataFrame, window_size: int, by: Sequence[str] = ("grp",)
     rows = df.filter("start < end").withColumn("fwd", _forward(df)).withColumn("__len", F.col("end") - F.col("start"))
     keys = [*by, "fwd"]
     if width == 0:
-        width = segment_width(rows, keys, order_by)
-    before = running(rows, keys, [order_by], order_by, {"__before": ("sum", F.col("__len"), False)}, width)
+        width = segment_width(rows, keys, [order_by])
+    before = running(rows, keys, [order_by], {"__before": ("sum", F.col("__len"), False)}, width)
     before = before.withColumn("__before", F.coalesce("__before", F.lit(0)))
     totals = rows.groupBy(*keys).agg(F.sum("__len").alias("__total"))
     before = before.join(totals, keys)
@@ -68,19 +68,19 @@ def window_grouped(df: DataFrame, window_size: int, by: Sequence[str] = ("grp",)
     return out.select("idx", "piece_no", (F.col("s") + F.col("p.a")).alias("start"), (F.col("s") + F.col("p.b")).alias("end"))
 
 
-def _run_lengths(df: DataFrame, by: list[str], width: int | None, ends: bool) -> tuple[DataFrame, list[str]]:
+def _run_lengths(df: DataFrame, by: list[str], width: int | Edges | None, ends: bool) -> tuple[DataFrame, list[str]]:
     """Rows with ``__cs, __ce``, the running length before and after each in order of transcription."""
     sign = F.when(F.col("fwd"), F.lit(1)).otherwise(F.lit(-1))
     rows = df.withColumn("fwd", _forward(df)).withColumn("__pos", sign * F.col("start")).withColumn("__end", sign * F.col("end"))
     rows = rows.withColumn("__len", F.abs(F.col("end") - F.col("start")))
-    if width == 0:
-        width = segment_width(rows, by, "__pos")
     order = ["__pos", "__end", "idx"] if ends else ["__pos", "idx"]
-    ran = running(rows, by, order, "__pos", {"__ce": ("sum", F.col("__len"), True)}, width)
+    if width == 0:
+        width = segment_width(rows, by, order)
+    ran = running(rows, by, order, {"__ce": ("sum", F.col("__len"), True)}, width)
     return ran.withColumn("__cs", F.col("__ce") - F.col("__len")), order
 
 
-def group_cumsum(df: DataFrame, by: Sequence[str] = ("grp",), width: int | None = 0, sort_output: bool = False) -> DataFrame:
+def group_cumsum(df: DataFrame, by: Sequence[str] = ("grp",), width: int | Edges | None = 0, sort_output: bool = False) -> DataFrame:
     """``idx, start, end``: each row's place along its group laid end to end, from the right for reverse rows."""
     ran, _ = _run_lengths(df, list(by), width, False)
     out = ran.select("idx", F.col("__cs").alias("start"), F.col("__ce").alias("end"))
@@ -110,7 +110,7 @@ def spliced_subseq(
     end: int | None = None,
     by: Sequence[str] = ("grp",),
     force_plus_strand: bool = False,
-    width: int | None = 0,
+    width: int | Edges | None = 0,
     sort_output: bool = False,
 ) -> DataFrame:
     """The slice ``[start:end)`` of each group's spliced rows, Python style: ``idx, start, end, strand``."""
@@ -119,7 +119,7 @@ def spliced_subseq(
     return out.orderBy("idx") if sort_output else out
 
 
-def spliced_subseq_multi(df: DataFrame, by: Sequence[str] = ("grp",), force_plus_strand: bool = False, width: int | None = 0, sort_output: bool = False) -> DataFrame:
+def spliced_subseq_multi(df: DataFrame, by: Sequence[str] = ("grp",), force_plus_strand: bool = False, width: int | Edges | None = 0, sort_output: bool = False) -> DataFrame:
     """As ``spliced_subseq``, with the slice of each group from ``slice_start, slice_end`` of its first row."""
     by = list(by)
     ran, order = _run_lengths(df, by, width, True)

@@ -146,6 +146,19 @@ _add(
 )
 
 
+def _joined(name: str, how: str, slack: int, sql: str) -> None:
+    _add(name, lambda spark, d: joins.overlap_join(views.items(spark, d), views.orders(spark, d), slack=slack, how=how), sql, *_ITEMS_ORDERS)
+
+
+_ROW = 'q.idx, q.grp, q.s AS start, q.e AS "end", q.fwd'
+_MET = "ord t ON q.grp = t.grp AND q.s < t.e + {0} AND t.s < q.e + {0}"
+_BOTH = f"SELECT {_ROW}, t.idx AS idx2, t.grp AS grp2, t.s AS start2, t.e AS end2 FROM items q"
+_joined("overlap_join_inner", "inner", 0, f"{_BOTH} JOIN {_MET.format(0)}")
+_joined("overlap_join_left", "left", 0, f"{_BOTH} LEFT JOIN {_MET.format(0)}")
+_joined("overlap_join_semi", "left_semi", 1, f"SELECT {_ROW} FROM items q SEMI JOIN {_MET.format(1)}")
+_joined("overlap_join_anti", "left_anti", 0, f"SELECT {_ROW} FROM items q ANTI JOIN {_MET.format(0)}")
+
+
 # --- Algebra: merge, cluster, gaps and the like -----------------------------------------------
 
 def _chain(view: str, slack: int) -> str:
@@ -208,8 +221,8 @@ _disjoint("max_disjoint_slack", "ev", 60)
 #: Positions of queries that no target covers, put together again: the definition, position by position.
 _add(
     "subtract",
-    lambda spark, d: setops.subtract(views.items(spark, d), views.orders(spark, d).filter("idx % 5 = 0")),
-    """+ t AS (SELECT DISTINCT grp, unnest(range(s, e)) AS p FROM ord WHERE idx % 5 = 0),
+    lambda spark, d: setops.subtract(views.items(spark, d), views.orders(spark, d)),
+    """+ t AS (SELECT DISTINCT grp, unnest(range(s, e)) AS p FROM ord),
     q AS (SELECT idx, grp, unnest(range(s, e)) AS p FROM items),
     k AS (SELECT idx, p, p - row_number() OVER (PARTITION BY idx ORDER BY p) AS run FROM q ANTI JOIN t ON q.grp = t.grp AND q.p = t.p)
     SELECT idx, min(p) AS start, max(p) + 1 AS "end" FROM k GROUP BY idx, run""",
@@ -218,18 +231,19 @@ _add(
 
 
 def _gaps(name: str, slack: int, first: bool) -> None:
+    """A group is as long as the orders' last end in it and 30 more; groups without orders have no length."""
+
     def query(spark: SparkSession, d: str) -> DataFrame:
-        rows = views.items(spark, d)
-        lengths = rows.filter("grp % 2 = 0").groupBy("grp").agg((F.max("end") + 30).alias("length"))
-        return setops.gaps(rows, slack=slack, lengths=lengths, include_first=first)
+        lengths = views.orders(spark, d).groupBy("grp").agg((F.max("end") + 30).alias("length"))
+        return setops.gaps(views.items(spark, d), slack=slack, lengths=lengths, include_first=first)
 
     lead = "UNION ALL SELECT grp, 0 AS start, s AS \"end\", idx FROM m WHERE island = 0 AND s > 0" if first else ""
-    sql = _merged("items", slack) + f"""
+    sql = _merged("items", slack) + f""", n AS (SELECT grp, max(e) + 30 AS n FROM ord GROUP BY grp)
         SELECT a.grp, a.e + {slack} AS start, b.s AS "end", a.idx FROM m a JOIN m b ON a.grp = b.grp AND b.island = a.island + 1 WHERE a.e + {slack} < b.s
-        UNION ALL SELECT grp, e + {slack}, (SELECT max(i.e) FROM items i WHERE i.grp = m.grp) + 30, idx FROM m
-                  WHERE grp % 2 = 0 AND island = (SELECT max(x.island) FROM m x WHERE x.grp = m.grp) AND 30 > {slack}
+        UNION ALL SELECT grp, e + {slack}, n, idx FROM m JOIN n USING (grp)
+                  WHERE island = (SELECT max(x.island) FROM m x WHERE x.grp = m.grp) AND e + {slack} < n
         {lead}"""
-    _add(name, query, sql, "lines", "items", recursive=True)
+    _add(name, query, sql, *_ITEMS_ORDERS, recursive=True)
 
 
 _gaps("complement_gaps", 0, True)
@@ -350,7 +364,7 @@ _bounded("outside_bounds_clip_right", True, True, 's AS start, least(e, n) AS "e
 
 
 def _ranked(name: str, query: Query, order: str) -> None:
-    _add(name, query, f"SELECT idx, CAST(row_number() OVER (PARTITION BY grp ORDER BY {order}) - 1 AS INTEGER) AS rank FROM items", "lines", "items")
+    _add(name, query, f"SELECT idx, row_number() OVER (PARTITION BY grp ORDER BY {order}) - 1 AS rank FROM items", "lines", "items")
 
 
 _ranked("sort_order", lambda spark, d: bounds.rank_in_group(df := views.items(spark, d), bounds.sort_keys(df)), "s, e, idx")
@@ -372,3 +386,53 @@ _add(
     "SELECT grp, e - 2 AS pos, idx FROM items",
     "lines", "items",
 )
+
+
+def _widened(name: str, reverse: bool, with_ends: bool) -> None:
+    """Intervals longer by 4 on both sides, in order; ``reverse`` turns those that are not forward."""
+    sign = "CASE WHEN fwd THEN 1 ELSE -1 END" if reverse else "1"
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return bounds.widened_ranks(views.items(spark, d), slack=4, reverse=~F.col("fwd") if reverse else None, with_ends=with_ends)
+
+    sql = f"""+ w AS (SELECT grp, idx, {sign} * (s - 4) AS start, {sign} * (e + 4) AS "end" FROM items)
+        SELECT *, row_number() OVER (PARTITION BY grp ORDER BY start, {'"end",' if with_ends else ''} idx) - 1 AS rank FROM w"""
+    _add(name, query, sql, "lines", "items")
+
+
+_widened("sorted_intervals", False, True)
+_widened("sorted_intervals_reverse", True, True)
+_widened("sorted_intervals_by_start", False, False)
+
+
+def _two(name: str, slack: int, low: str, high: str, **options: bool) -> None:
+    """Events of both sets; positions are moved so that some begin near 0."""
+
+    def moved(df: DataFrame) -> DataFrame:
+        return df.withColumns({"start": F.col("start") - 8500, "end": F.col("end") - 8500})
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return bounds.events_of_two(moved(views.items(spark, d)), moved(views.orders(spark, d)), slack=slack, **options)
+
+    span = ', low AS start, high AS "end"' if options.get("spans") else ""
+    sql = f"""+ r AS (
+            SELECT grp, idx, 1 AS set_no, {low.format("(s - 8500)")} AS low, {high.format("(e - 8500)")} AS high FROM items
+            UNION ALL SELECT grp, idx, 2, s - 8500, e - 8500 FROM ord)
+        SELECT grp, low AS pos, TRUE AS is_start, set_no, idx{span} FROM r UNION ALL SELECT grp, high, FALSE, set_no, idx{span} FROM r"""
+    _add(name, query, sql, *_ITEMS_ORDERS)
+
+
+_two("events_two", 3, "{} - 3", "{} + 3")
+_two("events_two_clamped", 40, "CASE WHEN {0} > 40 THEN {0} - 40 ELSE 0 END", "{} + 40", clamp=True)
+_two("events_two_spans", 3, "{} - 3", "{} + 3", spans=True)
+
+
+def _edges(name: str, edge: str, negate: bool) -> None:
+    pos = "s - 6" if edge == "start" else "e + 6"
+    sql = f"SELECT grp, {'-' if negate else ''}({pos}) AS pos, {edge == 'start'} AS is_start, 1 AS set_no, idx FROM items"
+    _add(name, lambda spark, d: bounds.edge_events(views.items(spark, d), edge, slack=6, negate=negate), sql, "lines", "items")
+
+
+_edges("edge_events_start", "start", False)
+_edges("edge_events_end", "end", False)
+_edges("edge_events_negated", "end", True)

@@ -4,6 +4,7 @@ import pytest
 
 from spanwise.functions import columns
 from spanwise.operators import bounds, joins, setops, windows
+from spanwise.plans import running
 from spanwise.sources.intervals import as_intervals, read_intervals, validate_intervals, write_intervals
 
 SCHEMA = "idx long, grp long, start long, `end` long"
@@ -158,3 +159,58 @@ def test_expressions(spark):
         columns.contains_expr("s", "e", "s", "e").alias("c"),
     ).first()
     assert tuple(row) == (-4, -10, 5, True)
+
+
+def test_missing_length_fails(spark):
+    df = rows(spark, [(1, 2), (3, 4)]).selectExpr("*", "CASE WHEN idx = 0 THEN 10L END AS length")
+    for clip in (False, True):
+        with pytest.raises(Exception, match="no length"):
+            bounds.outside_bounds(df, clip=clip).collect()
+
+
+def test_hot_groups_are_cut_wherever_their_rows_are(spark, monkeypatch):
+    """One group crowded into few positions, and one at a single position, come out as by a plain window."""
+    monkeypatch.setattr(running, "GROUP_ROWS", 60)
+    monkeypatch.setattr(running, "SEGMENT_ROWS", 20)
+    crowded = [(1000 + k % 3, 1001 + k % 3 + k % 5) for k in range(150)]
+    df = rows(spark, [*crowded, *[(7, 9)] * 120, (0, 5000), (4000, 4001), (-9, -2)], [1] * 150 + [2] * 120 + [1, 1, 3])
+    cut = running.segment_width(df, ["grp"])
+    assert cut.n > 5
+    sizes = df.select("grp", cut.segment().alias("s")).groupBy("grp", "s").count().agg({"count": "max"}).first()[0]
+    assert sizes < 80  # of 150 and 120
+    assert running.segment_width(df.limit(50), ["grp"]) is None
+    for run, names in (
+        (lambda w: setops.merge(df, slack=1, width=w), ("idx", "end", "count")),
+        (lambda w: setops.cluster(df, width=w), ("idx", "cluster_id")),
+        (lambda w: setops.gaps(df, include_first=True, width=w), ("grp", "start", "end", "idx")),
+        (lambda w: setops.split(df, between=True, width=w), ("grp", "start", "end", "idx")),
+        (lambda w: setops.max_disjoint(df, width=w), ("idx",)),
+        (lambda w: windows.group_cumsum(df, width=w), ("idx", "start")),
+        (lambda w: bounds.rank_in_group(df, bounds.sort_keys(df), width=w), ("idx", "rank")),
+        (lambda w: joins.count_overlaps(df, df, slack=1, width=w), ("idx", "n_overlaps")),
+        (lambda w: joins.nearest(df, df, k=2, include_overlaps=False, width=w), ("idx", "idx2", "distance")),
+    ):
+        assert got(run(0), *names) == got(run(None), *names)
+
+
+def test_one_long_stretch(spark):
+    """Rows that all reach into the next: the greedy choice over more rows than one array gathers."""
+    spans = [(10 * k, 10 * k + 15) for k in range(3000)]
+    assert got(setops.max_disjoint(rows(spark, spans)), "idx") == [(k,) for k in range(0, 3000, 2)]
+
+
+@pytest.mark.parametrize("contained", [False, True])
+@pytest.mark.parametrize("slack", [-1, -3, -8])
+def test_negative_slack_by_bins(spark, slack, contained):
+    q = [(k * 7 % 60, k * 7 % 60 + 1 + k % 13) for k in range(60)]
+    t = [(k * 11 % 60, k * 11 % 60 + 1 + k % 17) for k in range(60)]
+    plain, binned = (joins.overlaps(rows(spark, q), rows(spark, t), slack=slack, contained=contained, binned=b) for b in (False, None))
+    assert got(binned, "idx", "idx2") == got(plain, "idx", "idx2")
+
+
+def test_events_at_the_edges_of_numbers(spark):
+    a, b = rows(spark, [(3, 9), (5, (1 << 63) - 2)]), rows(spark, [(1, 2)])
+    found = got(bounds.events_of_two(a, b, slack=4, clamp=True), "pos", "is_start", "set_no", "idx")
+    assert found == [(0, True, 1, 0), (1, True, 1, 1), (1, True, 2, 0), (2, False, 2, 0), (13, False, 1, 0), ((1 << 63) - 1, False, 1, 1)]
+    with pytest.raises(ValueError):
+        bounds.edge_events(a, "middle")

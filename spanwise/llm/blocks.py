@@ -15,6 +15,7 @@ with what the block sent.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .memory import giving_back
@@ -30,9 +31,14 @@ from .store import write_bucketed
 from .text import Texts
 
 BLOCK_BYTES = 4 << 20
+#: Text of a bucket, as an aim: answers of one bucket are held in memory while its blocks pass.
+BUCKET_BYTES = 64 << 20
 #: Text whose keys meet in one task at most, as an aim for the number of ranges.
 RANGE_BYTES = 32 << 20
 
+#: What Spark allows.
+MOST_BUCKETS = 100_000
+
 BLOCKS = "block long, n_bytes long, ids array<long>, offsets binary, data binary"
 MESSAGE = "block long, range int, keys binary, extra binary"
 
@@ -103,8 +109,13 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["block", "n_bytes", "ids", "offsets", "data"])
 
 
-def _tables(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _buckets(rows: DataFrame) -> int:
+    """As many as shuffles have partitions, or more where the files below are larger than so many buckets should be."""
+    at_least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    n_bytes = sum(n for n in sizes if n < 1 << 60)  # Spark's mark of what it does not know
+    return max(at_least, min(-(-n_bytes // BUCKET_BYTES), MOST_BUCKETS))
 
 
 class BlockTable:
@@ -112,16 +123,18 @@ class BlockTable:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         self.spark = docs.sparkSession
-        self.buckets = _tables(self.spark)
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        self.buckets = _buckets(rows)
         self.blocks = write_bucketed(rows.mapInArrow(giving_back(_build), BLOCKS), "blocks", self.buckets, "block")
         total = self.blocks.agg(F.sum("n_bytes")).first()[0] or 0
         self.ranges = max(self.buckets, -(-total // RANGE_BYTES))
         self.joined = self.blocks
         self.told: dict[str, DataFrame] = {}
 
-    def map(self, run: Callable[[Block, list], Iterator[pa.RecordBatch]], schema: str, answers: tuple[str, ...] = ()) -> DataFrame:
-        """``run(block, answers)`` on every block; each answer is a list of (range, bytes) in order of ranges."""
+    def map(
+        self, run: Callable[[Block, list], Iterator[pa.RecordBatch]], schema: str, answers: tuple[str, ...] = (), of: DataFrame | None = None
+    ) -> DataFrame:
+        """``run(block, answers)`` on every block, or on those of ``of``; each answer is a list of (range, bytes) in order of ranges."""
         names = ["block", "ids", "offsets", "data", *answers]
 
         def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +147,7 @@ class BlockTable:
                     given = [sorted((x["range"], x["data"]) for x in (r.as_py() or [])) for r in row[4:]]
                     yield from run(Block(row[0].as_py(), row[1].as_py(), texts), given)
 
-        return self.joined.select(*names).mapInArrow(giving_back(over), schema)
+        return (self.joined if of is None else of).select(*names).mapInArrow(giving_back(over), schema)
 
     def ask(
         self,
@@ -159,7 +172,7 @@ class BlockTable:
             keys, values = request(block, given)
             values = np.asarray(values, dtype=np.uint64).reshape(planes, len(keys))
             edges = range_edges(keys, n)
-            rows = [r for r in range(n) if edges[r] < edges[r + 1]]
+            rows = np.flatnonzero(edges[:-1] < edges[1:]).tolist()  # a message carries a key at least: no more of them than keys
             columns = [
                 pa.array([block.block] * len(rows), pa.int64()),
                 pa.array(rows, pa.int32()),
@@ -196,8 +209,11 @@ class BlockTable:
         self._exchange(name, self.map(send, "block long, range int, data binary", answers), gather)
 
     def _exchange(self, name: str, sent: DataFrame, gather: Callable[[pa.Table], pa.Table]) -> None:
-        told = sent.groupBy("range").applyInArrow(giving_back(gather), "block long, range int, data binary")
-        told = told.groupBy("block").agg(F.collect_list(F.struct("range", "data")).alias(name))
+        self.attach(name, sent.groupBy("range").applyInArrow(giving_back(gather), "block long, range int, data binary"))
+
+    def attach(self, name: str, rows: DataFrame) -> None:
+        """Add the answer column ``name`` from rows ``(block, range, data)``, which are no more than a block's own text calls for."""
+        told = rows.groupBy("block").agg(F.collect_list(F.struct("range", "data")).alias(name))
         told = write_bucketed(told, "answers", self.buckets, "block")
         self.told[name] = told
         self.joined = self.joined.join(told.hint("shuffle_hash"), "block", "left")
@@ -212,10 +228,14 @@ class BlockTable:
         return bool(self.told[name].select(name).mapInArrow(look, "found boolean").agg(F.max("found")).first()[0])
 
 
+@functools.lru_cache(maxsize=4)
+def _range_starts(n: int) -> np.ndarray:
+    return np.array([-(-(r << 64) // n) for r in range(n)], dtype=np.uint64)
+
+
 def range_edges(keys: np.ndarray, n: int) -> np.ndarray:
     """Where each of ``n`` equal ranges of hash values begins in ordered ``keys``."""
-    starts = np.array([-(-(r << 64) // n) for r in range(n)], dtype=np.uint64)
-    return np.append(np.searchsorted(keys, starts), len(keys))
+    return np.append(np.searchsorted(keys, _range_starts(n)), len(keys))
 
 
 def answer(given: list, planes: int = 1) -> np.ndarray:

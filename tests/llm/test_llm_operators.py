@@ -226,6 +226,31 @@ def test_substring(spark):
     assert substring.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_removed_words_come_from_factors():
+    """A stretch that the index names is removed as far as the reference's own words go along, and no further."""
+    own = [b"w%d" % k for k in range(40)]
+    assert list(substring.factors(own, own, 13)) == [(0, 40)]
+    assert list(substring.factors(own[:12], own[:12], 13)) == []
+    other = [*own[:20], b"x", *own[21:30], b"y", *own[31:]]
+    assert list(substring.factors(own, other, 13)) == [(0, 20)]  # the rest agrees on 9 words and on 9
+    assert list(substring.factors(own, [b"z", *own[1:]], 13)) == [(1, 39)]
+    texts = text.Texts.of(pa.array(["a b", " ".join(x.decode() for x in own)]))
+    stretch = np.array([[1], [2], [40], [0], [5]], "<i8").tobytes()  # all of the second text, from word 5 of page 0 on
+    for reference, removed, found in ((own, 40, 1), (other, 20, 1), ([b"q"] * 40, 0, 0)):
+        pages = [b" ".join([b"p"] * 5 + reference[:27]), b" ".join(reference[27:])]
+        out = next(substring._finish(13)(blocks.Block(7, [1, 2], texts), [[(0, stretch)], list(enumerate(pages))]))
+        assert out.column(2).to_pylist() == [0, removed] and out.column(4).to_pylist() == [0, found]
+
+
+def test_messages_follow_the_keys():
+    """A block sends no message without a key in it, however many ranges there are."""
+    keys = np.sort(np.random.default_rng(3).integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2))
+    for n in (1, 7, 1000, 100_000):
+        edges = blocks.range_edges(keys, n)
+        assert edges[0] == 0 and edges[-1] == 500 and (edges[:-1] < edges[1:]).sum() <= min(n, 500)
+        assert all((keys[edges[r] : edges[r + 1]].astype(object) * n >> 64 == r).all() for r in np.flatnonzero(edges[:-1] < edges[1:])[:50])
+
+
 def repeated(texts, length):
     count = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
     for t in texts:

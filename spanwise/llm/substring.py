@@ -31,7 +31,6 @@ from .store import write_bucketed
 from .text import Rolling, Words, mix, ranges, window_counts
 
 SHINGLE = 6
-_OWN = np.uint64((1 << 64) - 1)
 #: Words of a page of a reference block.
 PAGE = 32
 RUNS = "block long, runs binary, pages array<struct<no:int,ref:long,page:int>>"
@@ -80,10 +79,10 @@ def _shared(group: np.ndarray, first: np.ndarray, values: np.ndarray) -> np.ndar
 
 
 def _first_place(group: np.ndarray, first: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Least (document, block, word) of each key, as its values are; the entry that is the first itself gets ``_OWN``."""
+    """Least (document, block, word) of each key, as its values are; the entry that is the first itself gets zeros."""
     order = np.lexsort((values[2], values[1], values[0], group))
     found = values[:, order][:, first][:, group]
-    found[:, order[first]] = _OWN  # packs to nothing, and the block knows the place
+    found[:, order[first]] = 0  # packs to little, and the block knows the place
     return found
 
 
@@ -100,10 +99,10 @@ def _unsigned(ids: np.ndarray) -> np.ndarray:
 
 
 def _lookups(parse: _Parse, chosen: np.ndarray):
-    """The distinct hashes of chosen windows, each with its first place in the block; and each window's own hash and document."""
+    """The distinct hashes of chosen windows, each with its first place in the block (document, block, word + 1); and each window's own hash and document."""
     hashes = parse.windows(chosen)
     ids = _unsigned(parse.block.id_array())[parse.doc[chosen]]
-    word = parse.at[chosen].astype(np.uint64)
+    word = parse.at[chosen].astype(np.uint64) + np.uint64(1)
     order = np.lexsort((word, ids, hashes))
     sorted_hashes = hashes[order]
     first = order[np.append(True, sorted_hashes[1:] != sorted_hashes[:-1])] if len(order) else order
@@ -122,10 +121,10 @@ def _claims(width: int):
         chosen = _candidates(parse, given[0])
         keys, own_places, hashes, ids = _lookups(parse, chosen)
         places = answer(given[1], 3)
-        places = np.where(places == _OWN, own_places, places)[:, np.searchsorted(keys, hashes)]
+        places = np.where(places[2] == 0, own_places, places)[:, np.searchsorted(keys, hashes)]
         earlier = places[0] < ids  # only what a document with a smaller id holds
         start, doc = parse.at[chosen][earlier], parse.doc[chosen][earlier]
-        ref, word = places[1][earlier].astype(np.int64), places[2][earlier].astype(np.int64)
+        ref, word = places[1][earlier].astype(np.int64), places[2][earlier].astype(np.int64) - 1
         goes_on = (np.diff(start) == 1) & (np.diff(doc) == 0) & (np.diff(ref) == 0) & (np.diff(word) == 1)
         first = np.flatnonzero(np.append(True, ~goes_on)) if len(start) else np.empty(0, np.int64)
         size = np.append(first[1:], len(start))[: len(first)] - first - 1 + width

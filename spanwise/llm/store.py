@@ -13,9 +13,11 @@ _named: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where it is unset, a folder of this process."""
+    """The folder named by ``spark.checkpoint.dir``; only where it is unset and all runs in this process, a folder of it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spanwise-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -49,19 +51,30 @@ def write_bucketed(df: DataFrame, label: str, buckets: int, key: str) -> DataFra
     return spark.table(name)
 
 
-def release() -> None:
-    """Delete every table written by this process. Call it once results are stored elsewhere."""
-    while _named:
+def mark() -> tuple[int, int]:
+    """A point in time, for ``release``."""
+    return len(_written), len(_named)
+
+
+def release(since: tuple[int, int] = (0, 0), keep_last: bool = False) -> None:
+    """Delete the tables written by this process after ``since``, but for the last one if it is to stay.
+
+    Call it once results are stored elsewhere, or for a stage whose own result is the last table.
+    """
+    kept = _written.pop() if keep_last and len(_written) > since[0] else None
+    while len(_named) > since[1]:
         spark, name = _named.pop()
         if spark.sparkContext._jsc is not None:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
-    while _written:
+    while len(_written) > since[0]:
         spark, path = _written.pop()
         jvm = spark.sparkContext._jvm
         if jvm is None or spark.sparkContext._jsc is None:
             continue
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if kept:
+        _written.append(kept)
 
 
 @atexit.register

@@ -7,17 +7,23 @@ by Myers' bit-parallel edit distance. Texts and items are compared in lower
 case with white space runs as one blank.
 
 The items travel to the executors, so they are split by size: each slice holds
-at most ``SLICE_CHARS``, and a larger benchmark takes several passes.
+about ``SLICE_CHARS``. A benchmark of more is taken slice by slice, each with a
+pass over the documents of its own, and a slice is given up before the next one
+is fetched.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import write_table
+
 #: One edit allowed for so many characters of an item: pieces have about this length.
 CHARS_PER_EDIT = 16
 #: Items with fewer characters are matched without edits, as whole words: inside others they occur by chance.
@@ -130,32 +136,32 @@ class Matcher:
         return sorted(found)
 
 
-def slices(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Items]:
-    """The items in slices of bounded size, whatever the size of the benchmark.
+def n_slices(benchmark: DataFrame, text_col: str = "text") -> int:
+    total = benchmark.agg(F.sum(F.length(text_col))).first()[0] or 0
+    return max(1, -(-total // SLICE_CHARS))
+
 
-    Only items are brought to the driver, one slice at a time; items with
-    under ``MIN_CHARS`` normalised characters have no budget; those without
-    characters, null ones too, match nothing.
+def slices(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:
+    """The items in slices of bounded size, whatever the size of the benchmark; the driver holds one at a time.
+
+    Items with under ``MIN_CHARS`` normalised characters have no budget; those
+    without characters, null ones too, match nothing.
     """
     rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // SLICE_CHARS))
-    out = []
+    n = n_slices(rows)
     for k in range(n):
         part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
         texts = [(r["id"], normalise(r["text"])) for r in part.collect()]
         kept = sorted({(i, t) for i, t in texts if t}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        out.append(Items([(i, t, budget_of(t)) for i, t in kept]))
-    return out
+        yield Items([(i, t, budget_of(t)) for i, t in kept])
 
 
 HITS = "array<struct<item_id:long,distance:int,start:long,end:long>>"
 _HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def hits_column(spark: SparkSession, items: Items):
-    """A column function ``text -> hits``: no text moves."""
-    shared = spark.sparkContext.broadcast(items)  # SLICE_CHARS characters at most
+def hits_column(shared: Broadcast):
+    """A column function ``text -> hits`` of broadcast ``Items``: no text moves."""
     built: dict[str, Matcher] = {}
 
     @F.arrow_udf(HITS)
@@ -173,20 +179,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     ``start`` and ``end`` are places in the normalised text; ``start`` is exact
     where the distance is 0 and else within the budget. Defined cases: a null or
-    empty text matches nothing; repeated rows give repeated hits; of several
-    occurrences of an item in one text the closest is reported, the first of
-    equals; items under ``MIN_CHARS`` characters match exactly, as whole words; an empty benchmark matches nothing; other columns are not read.
+    empty text matches nothing; a null document id is returned as it is; a text
+    of any length is searched whole, in memory by its own size; repeated rows
+    give repeated hits; of several occurrences of an item in one text the
+    closest is reported, the first of equals; items under ``MIN_CHARS``
+    characters match exactly, as whole words; an empty benchmark matches
+    nothing; other columns are not read.
     """
+    n = n_slices(benchmark)
     out = None
     for items in slices(benchmark):
-        hits = hits_column(docs.sparkSession, items)
-        part = docs.select(F.col(id_col).alias("doc_id"), F.inline(hits(F.col(text_col))))
+        shared = docs.sparkSession.sparkContext.broadcast(items)  # SLICE_CHARS characters at most
+        part = docs.select(F.col(id_col).alias("doc_id"), F.inline(hits_column(shared)(F.col(text_col))))
+        if n > 1:
+            part = write_table(part, "benchmark-hits")
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents in which no item was found, all their columns."""
+    """The documents in which no item was found, all their columns. Null and empty texts hold none; cases as in ``decontaminate``."""
+    n = n_slices(benchmark)
     for items in slices(benchmark):
-        docs = docs.filter(F.size(hits_column(docs.sparkSession, items)(F.col(text_col))) == 0)
+        shared = docs.sparkSession.sparkContext.broadcast(items)  # SLICE_CHARS characters at most
+        docs = docs.filter(F.size(hits_column(shared)(F.col(text_col))) == 0)
+        if n > 1:
+            docs = write_table(docs, "benchmark-clean")
+            shared.destroy()
     return docs

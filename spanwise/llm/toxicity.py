@@ -28,7 +28,7 @@ WIDTHS = (4, 6, 8)
 TABLE_BITS = 20
 #: Bytes of text that are looked at together: their n-grams take a hundred times as much for a moment.
 PART_BYTES = 1 << 19
-#: Bounds of the training sample and of the features kept.
+#: Bounds of the training sample and of the features kept, unless ``train`` is told others.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 3000, 9000, 4096
 
 _PUNCTUATION = np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", dtype=np.uint8)
@@ -171,11 +171,14 @@ def train(
     text_col: str = "text",
     label_col: str = "toxic",
     classifiers: int = 3,
+    max_positive: int = MAX_POSITIVE,
+    max_unlabelled: int = MAX_UNLABELLED,
+    max_features: int = MAX_FEATURES,
 ) -> Model | None:
     """Fit on the rows of ``docs`` for which the column expression ``usable(id)`` holds; None without positives.
 
-    At most ``MAX_POSITIVE`` confirmed texts and about ``MAX_UNLABELLED`` others are read, chosen by a hash of
-    their ids; at most ``MAX_FEATURES`` slots are kept. The class prior is the rate of toxic rows among the
+    At most ``max_positive`` confirmed texts and about ``max_unlabelled`` others are read, chosen by a hash of
+    their ids; at most ``max_features`` slots are kept. The class prior is the rate of toxic rows among the
     usable labels.
     """
     spark = docs.sparkSession
@@ -187,11 +190,11 @@ def train(
     if not known["n"] or not known["p"]:
         return None
     prior = min(max(known["p"] / known["n"], 0.001), 0.9)
-    chosen = marks.filter("toxic = 1").orderBy(order, "id").limit(MAX_POSITIVE).select("id")
+    chosen = marks.filter("toxic = 1").orderBy(order, "id").limit(max_positive).select("id")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(usable(F.col("id")))
-    share = min(1.0, MAX_UNLABELLED / max(1, texts.select("id").count()))
+    share = min(1.0, max_unlabelled / max(1, texts.select("id").count()))
     sampled = F.pmod(F.xxhash64(F.lit("unlabelled"), F.col("id")), F.lit(1 << 20)) < int(share * (1 << 20))
-    picked = texts.join(F.broadcast(chosen.withColumn("positive", F.lit(1))), "id", "left")  # MAX_POSITIVE rows at most
+    picked = texts.join(F.broadcast(chosen.withColumn("positive", F.lit(1))), "id", "left")  # max_positive rows at most
     picked = picked.filter(F.col("positive").isNotNull() | sampled)
     # A text in both roles counts in both: the unlabelled sample is drawn from all usable texts.
     roles = F.when(F.col("positive").isNull(), F.array(F.lit(0))).when(sampled, F.array(F.lit(0), F.lit(1)))
@@ -206,7 +209,7 @@ def train(
     rate_p, rate_u = F.col("p") / n_pos, (F.col("u") + 0.5) / (n_unl + 1)
     gain = (rate_p - rate_u) / F.sqrt(rate_u * (1 - F.least(rate_u, F.lit(0.999))) / n_pos + 1e-9)
     best = counted.select("slot", "p", gain.alias("gain")).filter((F.col("gain") >= 5) & (F.col("p") >= 3))
-    slots = np.sort(np.array([r["slot"] for r in best.orderBy(F.col("gain").desc(), "slot").limit(MAX_FEATURES).collect()], dtype=np.int64))
+    slots = np.sort(np.array([r["slot"] for r in best.orderBy(F.col("gain").desc(), "slot").limit(max_features).collect()], dtype=np.int64))
     rows = sample.mapInArrow(giving_back(_selected(slots)), "positive int, columns binary").toArrow()
     positive = np.asarray(rows["positive"])
     vectors = [np.frombuffer(x.as_py(), dtype=np.int32) for x in rows["columns"]]
@@ -250,15 +253,17 @@ def score_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
+    **bounds: int,
 ) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``.
 
     Labels are learnt only where crc32 of the id, modulo 4, is not ``held``.
     Defined cases: a null text scores as an empty one; without usable toxic
     labels all scores are 0; repeated rows score alike; a null id is not held
-    out and matches no label; other columns are not read.
+    out and matches no label; other columns are not read. ``bounds`` are those
+    of the training sample (see ``train``).
     """
-    model = train(docs, labels, lambda i: fold(i) != held, id_col, text_col, label_col)
+    model = train(docs, labels, lambda i: fold(i) != held, id_col, text_col, label_col, **bounds)
     score = scorer(docs.sparkSession, model)
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (fold(F.col(id_col)) == held).alias("held_out"), score(F.col(text_col)).alias("score")
@@ -266,7 +271,7 @@ def score_documents(
     return rows.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, held: int = 2) -> DataFrame:
-    """The documents that score under ``threshold``, all their columns."""
-    model = train(docs, labels, lambda i: fold(i) != held)
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, held: int = 2, **bounds: int) -> DataFrame:
+    """The documents that score under ``threshold``, all their columns; cases as in ``score_documents``."""
+    model = train(docs, labels, lambda i: fold(i) != held, **bounds)
     return docs.filter(scorer(docs.sparkSession, model)(F.col("text")) < threshold)

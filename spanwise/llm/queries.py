@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import lm
 from .decontaminate import decontaminate
@@ -27,12 +28,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals by source, language and tokenizer version after the batch of all documents, offered twice."""
+    """Totals by source, language and tokenizer version after five batches of changes, the first offered twice.
+
+    All documents come in; those marked toxic are revised (their text trimmed, one signed batch of both versions), the
+    revision is taken back, they are withdrawn, and come in again. What is left counts every document as it is.
+    """
     tokenizers = {n: default_path(f"{n}.tiktoken") for n in ("byte_bpe_50k", "byte_bpe_multi_50k")}
     rollup = TokenRollup(spark, new_path(spark, "token-rollup"), tokenizers)
     documents = _table(spark, sf_dir, "documents")
     rollup.commit("documents", documents)
     rollup.commit("documents", documents)  # the same batch again, as after a lost acknowledgement: nothing changes
+    marked = _table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    marked = documents.join(marked, "doc_id", "left_semi").select("source", "lang", "text")
+    trimmed = marked.withColumn("text", F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))
+    plus, minus = (lambda df: df.withColumn("sign", F.lit(1))), (lambda df: df.withColumn("sign", F.lit(-1)))
+    rollup.commit("revised", minus(marked).unionByName(plus(trimmed)), sign_col="sign")
+    rollup.commit("taken-back", minus(trimmed).unionByName(plus(marked)), sign_col="sign")
+    rollup.commit("withdrawn", minus(marked), sign_col="sign")
+    rollup.commit("again", plus(marked), sign_col="sign")
     return rollup.totals()
 
 

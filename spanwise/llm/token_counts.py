@@ -47,7 +47,9 @@ def deltas(changes: DataFrame, tokenizers: dict[str, str], text_col: str = "text
     summed map-side first, so a source with a third of all rows is no hot spot.
     Defined cases: a null text counts as a document of no tokens; null sources
     and languages are keys of their own; without ``sign_col`` all rows are
-    inserts, and a null sign changes nothing; repeated rows count each time.
+    inserts, and a null sign changes nothing; repeated rows count each time; a
+    text of any length is counted whole; an empty table gives no deltas; other
+    columns are not read.
     """
     sign = F.lit(1) if sign_col is None else F.coalesce(F.col(sign_col), F.lit(0))
     rows = changes.select("source", "lang", sign.cast("int").alias("sign"), F.col(text_col).alias("text"))
@@ -77,13 +79,16 @@ class TokenRollup:
         return fs.exists(marker)
 
     def commit(self, batch_id: str, changes: DataFrame, text_col: str = "text", sign_col: str | None = None) -> bool:
-        """Count a batch once. False if ``batch_id`` was committed before; what a failed try left is overwritten."""
+        """Count a batch once. False if ``batch_id`` was committed before; what a failed try left is overwritten.
+
+        One writer at a time: the mark of a commit is looked for and then set, so two drivers must not share a batch id.
+        """
         if not batch_id.replace("-", "").replace("_", "").isalnum():
             raise ValueError(f"batch id {batch_id!r}: letters, digits, - and _ only")
         if self.committed(batch_id):
             return False
         found = deltas(changes, self.tokenizers, text_col, sign_col)
-        found.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")  # one row per key
+        found.repartition(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")  # one row per key
         return True
 
     def batches(self) -> list[str]:

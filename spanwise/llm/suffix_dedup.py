@@ -32,6 +32,8 @@ GRAM = 100
 HOT = 100_000
 _PLACE_BITS = 28
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
+#: Starts that are looked at together.
+_PART = 1 << 27
 _KEY = 8  # bytes of the gram's hash before each string
 
 
@@ -140,13 +142,18 @@ class _Anchors:
         counts = np.maximum(sizes - (length - 1), 0)
         self.starts = ranges(texts.offsets[:-1], counts)  # of every string inside a text
         hashes = self.rolling.windows(self.gram)
-        least = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
-        have, want = 1, length - self.gram + 1
-        while have < want:
-            step = min(have, want - have)
-            least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]
-            have += step
-        self.of_start = (least[self.starts] & _PLACE).astype(np.int64)
+        want = length - self.gram + 1
+        of = np.empty(max(len(hashes) - want + 1, 0), dtype=np.int64)
+        # Places are told apart by their low bits, so a longer text is looked at in parts that overlap.
+        for base in range(0, len(of), _PART):
+            part = hashes[base : base + _PART + want - 1]
+            least, have = (part & ~_PLACE) | np.arange(len(part), dtype=np.uint64), 1
+            while have < want:
+                step = min(have, want - have)
+                least = np.minimum(least[:-step], least[step:])
+                have += step
+            of[base : base + len(least)] = (least & _PLACE).astype(np.int64) + base
+        self.of_start = of[self.starts]
         flags = np.zeros(len(texts.data) + 1, dtype=bool)
         flags[self.of_start] = True
         self.places = np.flatnonzero(flags)

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sieve import marked
 from .store import write_table
 
 MIN_WORDS = 8
@@ -96,7 +97,9 @@ def _duplicates(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     chosen = write_table(able.join(chosen, "line", "left_semi").select("line", "place"), "lines-chosen")
     # Their words, from the document where each occurs first.
     wanted = chosen.groupBy(F.col("place.doc").alias("doc")).agg(F.collect_set("place.at").alias("ats"))
-    texts = source.select("doc", "text").join(wanted.hint("shuffle_hash"), "doc")  # sorts no texts
+    asked = write_table(chosen.select(F.col("place.doc").alias("key")).distinct(), "lines-asked")
+    texts = marked(source.select("doc", "text"), F.col("doc"), asked).filter("__may").drop("__may")
+    texts = texts.join(wanted.hint("shuffle_hash"), "doc")  # sorts no texts
     texts = texts.select("doc", "ats", F.posexplode_outer(units(F.col("text"))).alias("at", "unit"))
     texts = texts.filter(F.array_contains("ats", F.col("at"))).withColumn("line", F.xxhash64("unit"))
     texts = texts.join(chosen, "line").filter(_place() == F.col("place")).withColumn("words", F.split("unit", " "))
@@ -222,10 +225,13 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the duplicate lines left out of their texts; texts that lose none stay as they are."""
-    gone = _removed(_source(docs, id_col, text_col)).filter(F.size("gone") > 0)
-    doc = F.coalesce(docs[id_col].cast("long"), F.lit(_LAST))
-    joined = docs.join(gone, (doc == gone["doc"]) & (F.xxhash64(docs[text_col]) == gone["text_key"]), "left")
-    renamed = joined.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"), gone["gone"].alias("gone"))
-    kept = F.filter(units(F.col("text")), lambda _, k: ~F.array_contains("gone", k))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return renamed.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    gone = write_table(_removed(_source(docs, id_col, text_col)).filter(F.size("gone") > 0).select("doc", "text_key", "gone"), "lines-gone")
+    packed = docs.select(F.struct(*docs.columns).alias("row"))
+    packed = packed.select("row", F.coalesce(F.col("row")[id_col].cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(F.col("row")[text_col]).alias("text_key"))
+    sieved = marked(packed, F.col("doc"), gone.select(F.col("doc").alias("key")))  # only texts that may lose lines are dealt by id
+    some = sieved.filter("__may").join(gone, ["doc", "text_key"], "left").select("row", "gone")
+    rest = sieved.filter(~F.col("__may")).select("row", F.lit(None).cast("array<int>").alias("gone"))
+    own = F.col("row")[text_col]
+    kept = F.filter(units(own), lambda _, k: ~F.array_contains("gone", k))
+    text = F.when(F.col("gone").isNull(), own).otherwise(F.array_join(kept, "\n"))
+    return some.unionByName(rest).select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

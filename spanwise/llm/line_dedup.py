@@ -5,6 +5,9 @@ left out) for lines of at least ``MIN_WORDS`` words, none for shorter ones. A
 line's deletion neighbourhood, itself and each way to leave out one word, is
 emitted as hashed keys: two lines within the bound share a key, at the same
 place of the word left out, or as one line's whole and the other's variant.
+The keys of lines of over ``LONG`` words are put together from running hashes of
+their words before and after the one left out, so that a line of any length is
+judged whole.
 Matches are verified word by word. A line goes if an earlier one, in order of
 document and line, lies within the bound.
 
@@ -17,7 +20,7 @@ no group of lines is ever paired with itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sieve import marked
@@ -26,8 +29,8 @@ from .store import write_table
 MIN_WORDS = 8
 #: Words of the ends that lines are compared by first: at most half of the words of a line.
 EDGES = (4, 8, 16)
-#: A longer line counts as several, cut after each so many words.
-MAX_WORDS = 256
+#: Lines of more words have their keys from running hashes, one row for each word.
+LONG = 256
 _LAST = (1 << 63) - 1
 
 
@@ -41,16 +44,13 @@ def _clean(text: Column) -> Column:
 
 
 def units(text: Column) -> Column:
-    """The lines of a text, white space runs as one blank; blank lines are empty, those of over ``MAX_WORDS`` words are cut."""
+    """The lines of a text, white space runs as one blank; blank lines are empty."""
+    return F.split(_clean(F.coalesce(text, F.lit(""))), "\n")
 
-    def cut(words: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(words), F.lit(MAX_WORDS))
-        return F.transform(starts, lambda s: F.array_join(F.slice(words, s, F.lit(MAX_WORDS)), " "))
 
-    # One pass over the lines: an expression that named them twice would be worked out twice. A line that could hold
-    # so many words is the exception; the others are not split into words here.
-    lines = F.split(_clean(F.coalesce(text, F.lit(""))), "\n")
-    return F.flatten(F.transform(lines, lambda x: F.when(F.octet_length(x) > 2 * MAX_WORDS - 2, cut(F.split(x, " "))).otherwise(F.array(x))))
+def _identity(unit: str) -> Column:
+    """128 bits that stand for a line: among a trillion lines, two that are not the same share them with a probability of 1e-15."""
+    return F.unhex(F.md5(unit))
 
 
 def _place(doc: str = "doc", at: str = "at") -> Column:
@@ -83,7 +83,7 @@ def _duplicates(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     split = source.select("doc", "text_key", units(F.col("text")).alias("units")).withColumn("n_units", F.size("units"))
     # Here and below generators are outer ones: Spark guards the others by filters that work the array out once more.
     lines = split.select("doc", "text_key", "n_units", F.posexplode_outer("units").alias("at", "unit")).filter(~blank)
-    lines = lines.select("doc", "text_key", "n_units", "at", F.xxhash64("unit").alias("line"), n_words.cast("int").alias("n"), "unit")
+    lines = lines.select("doc", "text_key", "n_units", "at", _identity("unit").alias("line"), n_words.cast("int").alias("n"), "unit")
     lines = write_table(lines.select("doc", "text_key", "n_units", "at", "line", "n", *_ends()), "lines")
     distinct = lines.groupBy("line").agg(
         F.min(_place()).alias("place"), F.count("*").alias("times"), F.max("n").alias("n"), *(F.max(c).alias(c) for c in _ENDS)
@@ -101,7 +101,7 @@ def _duplicates(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = marked(source.select("doc", "text"), F.col("doc"), asked).filter("__may").drop("__may")
     texts = texts.join(wanted.hint("shuffle_hash"), "doc")  # sorts no texts
     texts = texts.select("doc", "ats", F.posexplode_outer(units(F.col("text"))).alias("at", "unit"))
-    texts = texts.filter(F.array_contains("ats", F.col("at"))).withColumn("line", F.xxhash64("unit"))
+    texts = texts.filter(F.array_contains("ats", F.col("at"))).withColumn("line", _identity("unit"))
     texts = texts.join(chosen, "line").filter(_place() == F.col("place")).withColumn("words", F.split("unit", " "))
     # Rows repeated under one id show their lines at the same places: one of them is enough.
     words = write_table(texts.select("line", "place", "words").dropDuplicates(["line"]), "lines-words")
@@ -135,7 +135,7 @@ def _sharing_halves(words: DataFrame) -> DataFrame:
 def _near(words: DataFrame) -> DataFrame:
     """``(line, near)``: the earliest place of another line within one edit, where there is one."""
     words = write_table(_sharing_halves(words), "lines-open")
-    hashed = words.select("line", "early", "late", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
+    hashed = words.filter(F.size("words") <= LONG).select("line", "early", "late", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
     n = F.size("w")
     middle = F.floor((n + 1) / 2).cast("int")
     without = F.transform(
@@ -146,7 +146,8 @@ def _near(words: DataFrame) -> DataFrame:
         ),
     )
     whole = F.array(F.struct(F.xxhash64(n, "w").alias("key"), F.lit(0).alias("gap")))
-    emitted = write_table(hashed.select("line", F.inline_outer(F.concat(whole, without))), "lines-variants")
+    emitted = hashed.select("line", F.inline_outer(F.concat(whole, without))).unionByName(_long_keys(words))
+    emitted = write_table(emitted, "lines-variants")
     # Only keys that several rows share go on, with the places of their lines.
     several = write_table(emitted.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "lines-keys")
     shared = emitted.join(several, "key", "left_semi").join(words.select("line", "place"), "line")
@@ -171,6 +172,23 @@ def _near(words: DataFrame) -> DataFrame:
     return found.join(mine, "line").join(theirs, "other").filter(within_one("a", "b")).select("line", "near")
 
 
+def _long_keys(words: DataFrame) -> DataFrame:
+    """``line, key, gap`` of lines of over ``LONG`` words; of those of ``LONG``, which a longer one can be an edit away from, the whole."""
+    n = F.col("n")
+    rows = words.withColumn("n", F.size("words")).filter(n >= LONG).select("line", "early", "late", "n", F.posexplode_outer("words").alias("j", "w"))
+    rows = rows.withColumns({"gap": F.col("j") + 1, "here": F.xxhash64("w", F.col("j")), "moved": F.xxhash64("w", F.col("j") - 1)})
+    so_far = Window.partitionBy("line").orderBy("j")
+    before = F.bit_xor("here").over(so_far.rowsBetween(Window.unboundedPreceding, -1))
+    upto = F.bit_xor("moved").over(so_far.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.bit_xor("moved").over(Window.partitionBy("line")).bitwiseXOR(upto)
+    key = F.xxhash64(n - 1, F.lit("long"), F.coalesce(before, F.lit(0)).bitwiseXOR(after))
+    reachable = (F.col("early") | (F.col("gap") > F.floor((n - 1) / 2))) & (F.col("late") | (F.col("gap") <= F.floor((n + 1) / 2)))
+    left_out = rows.filter(n > LONG).select("line", "n", "early", "late", "gap", key.alias("key")).filter(reachable).select("line", "key", "gap")
+    whole = rows.groupBy("line", "n").agg(F.bit_xor("here").alias("all"))
+    whole = whole.select("line", F.xxhash64(n, F.lit("long"), F.col("all")).alias("key"), F.lit(0).alias("gap"))
+    return left_out.unionByName(whole)
+
+
 def within_one(a: str, b: str) -> Column:
     """Whether two word arrays are at most one word edit apart: their common ends leave at most one word."""
     longest, shortest = F.greatest(F.size(a), F.size(b)), F.least(F.size(a), F.size(b))
@@ -208,7 +226,8 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     from its second occurrence on; rows repeated with one id and text share
     their places and do not remove each other's lines; a null id sorts behind
     all ids; an empty table gives an empty result; other columns are not read.
-    A 64-bit collision of keys can only keep a line.
+    Lines are the same where 128 bits of them are (``_identity``); a collision of the 64-bit keys that candidates are
+    found by can only keep a line, as what goes by an edit is verified word by word.
     """
     source = _source(docs, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -157,25 +157,20 @@ ORACLES: dict[str, str] = {
             FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
         ), normal AS (
             SELECT doc_id, no, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM raw
-        ), pieces AS (
-            SELECT doc_id, no, words[p:p + 255] AS words, p
-            FROM (SELECT doc_id, no, words, unnest(range(1, greatest(len(words), 1) + 1, 256)) AS p
-                  FROM (SELECT doc_id, no, string_split(line, ' ') AS words FROM normal))
         ), units AS (
-            SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY no, p) - 1 AS k, words,
-                   array_to_string(words, ' ') AS unit FROM pieces
+            SELECT doc_id, no - 1 AS k, string_split(line, ' ') AS words, line AS unit FROM normal
         ), lines AS (
             SELECT unit, min({'d': doc_id, 'a': k}) AS place, any_value(words) AS words FROM units WHERE unit <> '' GROUP BY unit
         ), able AS (
-            SELECT * FROM lines WHERE len(words) >= 8
+            SELECT *, md5(unit) AS whole FROM lines WHERE len(words) >= 8
         ), variants AS (
-            SELECT unit, place, i, array_to_string(words[1:i - 1] || words[i + 1:], ' ') AS key
+            SELECT unit, place, i, md5(array_to_string(words[1:i - 1] || words[i + 1:], ' ')) AS key
             FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM able)
         ), near AS (
             SELECT unit, min(best) AS best FROM (
                 SELECT unit, min(place) OVER (PARTITION BY key, i) AS best FROM variants
-                UNION ALL SELECT v.unit, a.place FROM variants v JOIN able a ON a.unit = v.key
-                UNION ALL SELECT a.unit, v.place FROM variants v JOIN able a ON a.unit = v.key
+                UNION ALL SELECT v.unit, a.place FROM variants v JOIN able a ON a.whole = v.key
+                UNION ALL SELECT a.unit, v.place FROM variants v JOIN able a ON a.whole = v.key
             ) GROUP BY unit
         ), owner AS (
             SELECT l.unit, least(l.place, coalesce(n.best, l.place)) AS owner FROM lines l LEFT JOIN near n ON n.unit = l.unit

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sieve import without
 from .store import write_table
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
@@ -65,18 +66,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns; of rows repeated with one id and text, one stays."""
+    """The rows of ``docs`` that stay, all their columns; of rows repeated with one id and text, one stays.
+
+    Only rows whose ids are among those that go are dealt by key; the texts of the others stay where they are read. Null
+    ids and texts, empty tables and other columns as in ``exact_dedup``.
+    """
     found = exact_dedup(docs, id_col, text_col)
-    key = [F.col(id_col).alias("gone_id"), F.col("text_sha256").alias("gone_sha")]
-    sha = F.sha2(normalised(docs[text_col]), 256)
+    key = [F.col(id_col).alias("key"), F.col("text_sha256").alias("__sha")]
+    same = F.col(f"{id_col}").eqNullSafe(F.col("__gone")) & (F.sha2(normalised(F.col(text_col)), 256) == F.col("__sha"))
 
-    def same(other: DataFrame):
-        return docs[id_col].eqNullSafe(other["gone_id"]) & (sha == other["gone_sha"])
+    def named(other: DataFrame) -> DataFrame:
+        return other.withColumn("__gone", F.col("key"))
 
-    gone = found.filter(~F.col("kept")).select(*key).distinct()
-    stays = docs.join(gone, same(gone), "left_anti")
-    twice = write_table(found.filter("kept").select(*key).groupBy("gone_id", "gone_sha").count().filter("count > 1"), "exact-repeated")
+    gone = named(write_table(found.filter(~F.col("kept")).select(*key).distinct(), "exact-gone"))
+    stays = without(docs, F.col(id_col), gone, same)
+    twice = named(write_table(found.filter("kept").select(*key).groupBy("key", "__sha").count().filter("count > 1"), "exact-repeated"))
     if twice.isEmpty():
         return stays
-    once = docs.join(twice, same(twice), "left_semi").dropDuplicates([id_col, text_col])
-    return stays.join(twice, same(twice), "left_anti").unionByName(once)
+    once = docs.join(twice, same, "left_semi").dropDuplicates([id_col, text_col])
+    return without(stays, F.col(id_col), twice, same).unionByName(once)

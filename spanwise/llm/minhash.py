@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .memory import giving_back
+from .sieve import without
 from .store import write_bucketed, write_table
 from .text import Rolling, Texts, Words, mix, ranges, window_counts
 
@@ -337,6 +338,10 @@ def _linked(source: DataFrame, members: DataFrame, width: int, percent: int, rep
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
-    """The document with the least id of each group, all its columns; of rows under one id, all or none."""
-    kept = near_duplicates(docs, width, percent).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """The document with the least id of each group, all its columns; of rows under one id, all or none.
+
+    Rows without words or without an id stay; an empty table gives an empty one. Only rows that may go are dealt by id.
+    """
+    gone = near_duplicates(docs, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct()
+    gone = write_table(gone, "minhash-gone").withColumn("__gone", F.col("key"))
+    return without(docs, F.col("doc_id"), gone, F.col("doc_id") == F.col("__gone"))

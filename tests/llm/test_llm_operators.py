@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 from spanwise.llm import (
-    blocks, components, decontaminate, exact_dedup, line_dedup, lm, minhash, packing, substring, suffix_dedup, text, token_counts, tokenizer, toxicity,
+    blocks, components, decontaminate, exact_dedup, line_dedup, lm, minhash, packing, sieve, store, substring, suffix_dedup, text, token_counts, tokenizer, toxicity,
 )
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, keep_id long, node long, component_id long, kept string"
@@ -352,7 +352,8 @@ def test_benchmark_slices(spark, monkeypatch):
     rng = random.Random(8)
     bench = spark.createDataFrame([(k, prose(rng, 15)) for k in range(12)], "item_id long, text string")
     docs = frame(spark, [(k, "so " + r["text"] + " it is") for k, r in enumerate(bench.collect())])
-    assert len(decontaminate.slices(bench)) > 3
+    assert len(list(decontaminate.slices(bench))) == decontaminate.n_slices(bench) > 3
+    assert decontaminate.keep_uncontaminated(docs, bench).count() == 0
     assert rows_of(decontaminate.decontaminate(docs, bench), "doc_id", "item_id", "distance") == sorted([(k, k, 0) for k in range(12)], key=repr)
 
 
@@ -375,6 +376,37 @@ def test_lm(spark):
     assert lm.score_documents(frame(spark, [])).count() == 0
 
 
+def test_lm_scores_by_brute_force(spark):
+    """The model from plain counts: leave-one-out cells on the grid, weights by EM over them, mixed estimates of each token."""
+    rows = odd(corpus())
+    texts = [(i, [*words(t, True), None], zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2) for i, t in rows]
+    one, two, begun = Counter(), Counter(), 0
+    for _, ws, held in texts:
+        if not held:
+            one.update(ws)
+            two.update(zip(["begin", *ws], ws))
+            begun += 1
+    total, distinct = sum(one.values()), len(one)
+    seen = lambda c: begun if c == "begin" else one[c]
+    level = lambda n: int(np.log2(n)) + 1 if n > 0 else 0
+    code = lambda x: round(lm.STEPS * np.log2(x)) + 512 if x > 0 else lm.NONE
+    cells = Counter({-1: total, -2: distinct})
+    for _, ws, held in texts:
+        for c, w in zip(["begin", *ws], ws) if not held else ():
+            n, k, m = seen(c) - 1, two[c, w] - 1, one[w] - 1
+            cells[level(n) << 20 | code(k / n if n and k else 0) << 10 | code(m)] += 1
+    weights, _, _ = lm.learn_weights(cells)
+    want = []
+    for i, ws, _ in texts:
+        score = 0.0
+        for c, w in zip(["begin", *ws], ws):
+            a, b, u = weights[level(seen(c))]
+            score += np.log10(a * two[c, w] / max(seen(c), 1) + b * one[w] / total + u / (distinct + 1))
+        want.append((i, round(score, 5)))
+    got = [(r["doc_id"], round(r["score"], 5)) for r in lm.score_documents(frame(spark, rows).repartition(3)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_lm_is_a_distribution(spark):
     """Probabilities of all continuations of a context add up to one, unknown words as one class."""
     docs = [(0, "a b a c"), (1, "a b b"), (3, "c a b")]
@@ -492,9 +524,7 @@ def brute_lines(rows):
     placed = []
     for i, t in rows:
         for k, line in enumerate((t or "").split("\n")):
-            ws = line.split()
-            for part in [ws[j : j + line_dedup.MAX_WORDS] for j in range(0, max(len(ws), 1), line_dedup.MAX_WORDS)]:
-                placed.append((i, part))
+            placed.append((i, line.split()))
     number, out, seen = Counter(), {}, []
     for i, ws in placed:
         k = number[i]
@@ -531,6 +561,14 @@ def test_line_dedup(spark):
             w[at : at + 1] = rng.choice([[], ["new"], [w[at], "more"], [w[at]]])
             lines.append(" ".join(w))
         rows.append((100 + k, "\n".join(lines)))
+    for k, n in enumerate((254, 255, 256, 257, 258, 700, 4000)):  # around the length where keys are made another way
+        w = prose(rng, n).split()
+        for j, at in enumerate((0, n // 2, n - 1, n // 3, n // 3 + 1)):
+            edited = [*w[:at], *rng.choice([[], ["new"], [w[at], "more"]]), *w[at + 1 :]]
+            rows.append((300 + 20 * k + j, " ".join(edited)))
+        rows.append((299 + 20 * k, " ".join(w)))
+        rows.append((318 + 20 * k, " ".join([*w[:3], "two", *w[3:-5], "more", *w[-5:]])))
+    rows.sort()
     names = ("doc_id", "n_lines", "n_removed", "removed")
     assert sorted(rows_of(line_dedup.line_report(frame(spark, rows)), *names)) == brute_lines(rows)
     left = {r["doc_id"]: r["text"] for r in line_dedup.remove_lines(frame(spark, rows)).collect()}
@@ -600,3 +638,29 @@ def test_nnpu_steps_back_when_the_risk_turns_negative():
     unl = toxicity._Sparse([np.array([0, 51]) if k < 20 else np.array([52 + rng.integers(8)]) for k in range(100)], 60)
     w, c = toxicity.nnpu_fit(pos, unl, 0.2)
     assert w[0] > 1 and np.isfinite(w).all() and np.isfinite(c)
+
+
+def test_sieve(spark):
+    """Keys always pass, few others do, and rows go only where the condition holds."""
+    df = spark.createDataFrame([(k, f"t{k}", "x") for k in range(3000)] + [(None, "n", "x")], "id long, text string, key string")
+    keys = spark.createDataFrame([(k,) for k in range(0, 3000, 10)] + [(None,)], "key long")
+    got = sieve.marked(df, df["id"], keys).collect()
+    passed = {r["id"] for r in got if r["__may"]}
+    assert len(got) == 3001 and {None, *range(0, 3000, 10)} <= passed and len(passed) < 600
+    assert not any(r["__may"] for r in sieve.marked(df, df["id"], keys.limit(0)).collect())
+    gone = keys.selectExpr("key", "key AS other").filter("key % 20 = 0 OR key IS NULL")
+    left = sieve.without(df, df["id"], gone, df["id"] == gone["other"])
+    assert left.columns == df.columns and {r["id"] for r in left.collect()} == {None, *range(3000)} - set(range(0, 3000, 20))
+
+
+def test_release_keeps_the_last_table(spark):
+    df = spark.range(5)
+    before = store.mark()
+    first, second = store.write_table(df, "first"), store.write_table(df, "second")
+    store.write_bucketed(df, "third-b", 2, "id")
+    last = store.write_table(second, "last")
+    store.release(before, keep_last=True)
+    assert last.count() == 5 and len(store._written) == before[0] + 1 and len(store._named) == before[1]
+    with pytest.raises(Exception, match="does not exist|PATH_NOT_FOUND|FILE_NOT_EXIST"):
+        first.collect()
+    store.release(before)

@@ -136,3 +136,42 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         assert r["offset"] == ends.get(r["sequence_id"], 0)
         ends[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(ends.values()) <= 2048
+
+
+def test_token_counts_recounted(spark):
+    """After all batches, signed and repeated ones, the totals are those of the table itself."""
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    want = {}
+    for name in ("byte_bpe_50k", "byte_bpe_multi_50k"):
+        encode = tokenizer.encoder(tokenizer.default_path(f"{name}.tiktoken"))
+        for r in rows:
+            x = want.setdefault((r["source"], r["lang"], name), [0, 0, 0])
+            for k, n in enumerate((1, len(encode(r["text"] or "")), len((r["text"] or "").encode()))):
+                x[k] += n
+    got = queries.op1_token_counts(spark, DATA).collect()
+    assert {(r["source"], r["lang"], r["tokenizer"]): [r["n_docs"], r["n_tokens"], r["n_bytes"]] for r in got} == want
+    assert spark.read.parquet(f"{DATA}/labels.parquet").filter("toxic = 1").count() > 0
+
+
+ODD = [(1, None), (2, ""), (3, " \n "), (4, "one two"), (4, "one two"), (None, "no id at all"), (None, None), (5, "long word " * 9000), (6, "one  two")]
+NAMES = "item_id long, start long, score double, piece int, node long, key string, gone string, toxic int, n_lines int"
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_odd_rows(spark, tmp_path, stage):
+    """Nulls, empty and long texts, repeated rows, empty tables and columns of any name: what each stage does with them."""
+    name, run = corpus_pipeline.STAGES[stage]
+    spark.createDataFrame([(1, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (3, "an item that is nowhere to be found")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, *[None] * 9) for i, t in ODD], f"doc_id long, text string, {NAMES}")
+    out = run(spark, docs, str(tmp_path))
+    ids = sorted((r["doc_id"] for r in out.collect()), key=repr)
+    every = sorted((i for i, _ in ODD), key=repr)
+    if name == "exact_dedup":  # an empty text goes with the null one, and one of the repeated rows with the other
+        assert ids == sorted([1, 3, 4, 5, None], key=repr)
+    elif name == "minhash_dedup":  # texts without words stay, rows of one id stand and fall together
+        assert ids == sorted([1, 2, 3, 4, 4, 5, None, None], key=repr)
+    else:
+        assert sorted(set(ids), key=repr) == sorted(set(every), key=repr) and (name == "best_fit_packing" or ids == every)
+    empty = run(spark, docs.limit(0), str(tmp_path))
+    assert empty.count() == 0 and (name == "best_fit_packing" or empty.columns == out.columns == docs.columns)

@@ -17,27 +17,30 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.3 for toxicity."""
+    """Documents that score under 0.3 for toxicity, all rows of them; a null text scores as an empty one, and without
+    labels of toxic documents all stay."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text, the one with the least id."""
+    """Of documents with equal text (null: empty), the one with the least id; of rows with one id and text, one. A row
+    without an id stays only where no row of its text has one."""
     return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of shingles of 0.8 or more, the one with the least id; those without words stay."""
+    """Of documents linked by a similarity of shingles of 0.8 or more, the one with the least id; those without words or
+    without an id stay, and rows of one id stay or go together."""
     return minhash.keep_one(docs, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, edited ones included."""
+    """Documents that hold no benchmark item, edited ones included; null and empty texts hold none."""
     return decontaminate.keep_uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
+    """The pieces of all documents in sequences of at most 2048 tokens; a null or empty text is its end id alone."""
     return packing.pack_documents(docs, tokenizer.default_path("byte_bpe_50k.json"))
 
 
@@ -54,7 +57,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage over what the one before it kept; a stage's own tables go once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    began = store.mark()
     for name, stage in STAGES:
         docs = store.write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        store.release(began, keep_last=True)
     return docs

@@ -5,9 +5,9 @@ left out) for lines of at least ``MIN_WORDS`` words, none for shorter ones. A
 line's deletion neighbourhood, itself and each way to leave out one word, is
 emitted as hashed keys: two lines within the bound share a key, at the same
 place of the word left out, or as one line's whole and the other's variant.
-The keys of lines of over ``LONG`` words are put together from running hashes of
-their words before and after the one left out, so that a line of any length is
-judged whole.
+Lines of over ``LONG`` words are compared by all but one of their stretches of
+``STRETCH`` words first, instead of by halves, and leave out only words of a
+stretch that may hold the edit, so that a line of any length is judged whole.
 Matches are verified word by word. A line goes if an earlier one, in order of
 document and line, lies within the bound.
 
@@ -20,7 +20,7 @@ no group of lines is ever paired with itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sieve import marked
@@ -29,8 +29,8 @@ from .store import write_table
 MIN_WORDS = 8
 #: Words of the ends that lines are compared by first: at most half of the words of a line.
 EDGES = (4, 8, 16)
-#: Lines of more words have their keys from running hashes, one row for each word.
-LONG = 256
+#: Lines of more words are compared by stretches of so many.
+LONG, STRETCH = 256, 64
 _LAST = (1 << 63) - 1
 
 
@@ -112,7 +112,7 @@ def _duplicates(source: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _sharing_halves(words: DataFrame) -> DataFrame:
-    """The lines that share half of themselves with another line of the same or the next number of words.
+    """``line, early, late`` of lines that share half of themselves with another line of the same or the next number of words.
 
     One edit leaves the first or the last half of the shorter line untouched, so
     a line shows its halves for its own number of words and for one word less.
@@ -129,25 +129,54 @@ def _sharing_halves(words: DataFrame) -> DataFrame:
     shown = words.select("line", F.inline_outer(F.array(*halves(n), *halves(n - 1))))
     several = write_table(shown.groupBy("half").agg(F.count("*").alias("m")).filter("m > 1").select("half"), "lines-halves")
     sharing = shown.join(several, "half", "left_semi").groupBy("line")
-    return words.join(sharing.agg(F.max(~F.col("late")).alias("early"), F.max("late").alias("late")), "line")
+    return sharing.agg(F.max(~F.col("late")).alias("early"), F.max("late").alias("late"))
+
+
+def _sharing_stretches(words: DataFrame) -> DataFrame:
+    """``line, stretches``: the stretches of a line without which it is the same as another of the same or the next number of words.
+
+    The words before a stretch are counted from the left and those behind it from the right, for the line's own number
+    of words and for one less: an edit inside the stretch moves neither.
+    """
+    n = F.size("words")
+
+    def shown(c: Column) -> Column:
+        def key(ref: Column) -> Column:
+            behind = F.greatest(ref - (c + 1) * STRETCH, F.lit(0))
+            return F.xxhash64(ref, c, F.slice("words", F.lit(1), F.least(c * STRETCH, n)), F.slice("words", n - behind + 1, behind))
+
+        return F.array(*[F.struct(c.alias("stretch"), key(ref).alias("rest")) for ref in (n, n - 1)])
+
+    stretches = F.flatten(F.transform(F.sequence(F.lit(0), F.floor(n / STRETCH).cast("int")), shown))
+    rows = write_table(words.select("line", F.inline_outer(stretches)), "lines-stretches")
+    several = write_table(rows.groupBy("rest").agg(F.count("*").alias("m")).filter("m > 1").select("rest"), "lines-rests")
+    return rows.join(several, "rest", "left_semi").groupBy("line").agg(F.collect_set("stretch").alias("stretches"))
 
 
 def _near(words: DataFrame) -> DataFrame:
     """``(line, near)``: the earliest place of another line within one edit, where there is one."""
-    words = write_table(_sharing_halves(words), "lines-open")
-    hashed = words.filter(F.size("words") <= LONG).select("line", "early", "late", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
+    halves = _sharing_halves(words.filter(F.size("words") <= LONG)).withColumn("stretches", F.lit(None).cast("array<int>"))
+    # A line of just so many words can be an edit away from a longer one.
+    longer = _sharing_stretches(words.filter(F.size("words") >= LONG)).withColumns({"early": F.lit(False), "late": F.lit(False)})
+    shares = halves.unionByName(longer).groupBy("line").agg(F.max("early").alias("early"), F.max("late").alias("late"), F.max("stretches").alias("stretches"))
+    words = write_table(words.join(shares, "line"), "lines-open")
+    hashed = words.select("line", "early", "late", "stretches", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
     n = F.size("w")
     middle = F.floor((n + 1) / 2).cast("int")
+    short = F.sequence(F.when(F.col("early"), 1).otherwise(F.floor((n - 1) / 2).cast("int") + 1), F.when(F.col("late"), n).otherwise(middle))
+    none = F.array().cast("array<int>")
+    inside = F.transform(
+        "stretches", lambda c: F.when(c * STRETCH < n, F.sequence(c * STRETCH + 1, F.least((c + 1) * STRETCH, n))).otherwise(none)
+    )
     without = F.transform(
-        F.sequence(F.when(F.col("early"), 1).otherwise(F.floor((n - 1) / 2).cast("int") + 1), F.when(F.col("late"), n).otherwise(middle)),
+        F.when(n <= LONG, short).otherwise(F.flatten(inside)),
         lambda i: F.struct(
             # The hash runs over the elements of both parts as over those of one array.
             F.xxhash64(n - 1, F.slice("w", F.lit(1), i - 1), F.slice("w", i + 1, n)).alias("key"), i.alias("gap")
         ),
     )
     whole = F.array(F.struct(F.xxhash64(n, "w").alias("key"), F.lit(0).alias("gap")))
-    emitted = hashed.select("line", F.inline_outer(F.concat(whole, without))).unionByName(_long_keys(words))
-    emitted = write_table(emitted, "lines-variants")
+    emitted = write_table(hashed.select("line", F.inline_outer(F.concat(whole, without))), "lines-variants")
     # Only keys that several rows share go on, with the places of their lines.
     several = write_table(emitted.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "lines-keys")
     shared = emitted.join(several, "key", "left_semi").join(words.select("line", "place"), "line")
@@ -172,23 +201,6 @@ def _near(words: DataFrame) -> DataFrame:
     return found.join(mine, "line").join(theirs, "other").filter(within_one("a", "b")).select("line", "near")
 
 
-def _long_keys(words: DataFrame) -> DataFrame:
-    """``line, key, gap`` of lines of over ``LONG`` words; of those of ``LONG``, which a longer one can be an edit away from, the whole."""
-    n = F.col("n")
-    rows = words.withColumn("n", F.size("words")).filter(n >= LONG).select("line", "early", "late", "n", F.posexplode_outer("words").alias("j", "w"))
-    rows = rows.withColumns({"gap": F.col("j") + 1, "here": F.xxhash64("w", F.col("j")), "moved": F.xxhash64("w", F.col("j") - 1)})
-    so_far = Window.partitionBy("line").orderBy("j")
-    before = F.bit_xor("here").over(so_far.rowsBetween(Window.unboundedPreceding, -1))
-    upto = F.bit_xor("moved").over(so_far.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.bit_xor("moved").over(Window.partitionBy("line")).bitwiseXOR(upto)
-    key = F.xxhash64(n - 1, F.lit("long"), F.coalesce(before, F.lit(0)).bitwiseXOR(after))
-    reachable = (F.col("early") | (F.col("gap") > F.floor((n - 1) / 2))) & (F.col("late") | (F.col("gap") <= F.floor((n + 1) / 2)))
-    left_out = rows.filter(n > LONG).select("line", "n", "early", "late", "gap", key.alias("key")).filter(reachable).select("line", "key", "gap")
-    whole = rows.groupBy("line", "n").agg(F.bit_xor("here").alias("all"))
-    whole = whole.select("line", F.xxhash64(n, F.lit("long"), F.col("all")).alias("key"), F.lit(0).alias("gap"))
-    return left_out.unionByName(whole)
-
-
 def within_one(a: str, b: str) -> Column:
     """Whether two word arrays are at most one word edit apart: their common ends leave at most one word."""
     longest, shortest = F.greatest(F.size(a), F.size(b)), F.least(F.size(a), F.size(b))

@@ -13,7 +13,8 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_report
 from .minhash import near_duplicates
 from .packing import pack_documents
-from .store import new_path
+from .sieve import marked
+from .store import new_path, write_table
 from .substring import remove_repeats
 from .suffix_dedup import remove_repeated_bytes
 from .token_counts import TokenRollup
@@ -38,14 +39,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     rollup.commit("documents", documents)
     rollup.commit("documents", documents)  # the same batch again, as after a lost acknowledgement: nothing changes
-    marked = _table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
-    marked = documents.join(marked, "doc_id", "left_semi").select("source", "lang", "text")
-    trimmed = marked.withColumn("text", F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))
+    toxic = _table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("key")).distinct()
+    likely = marked(documents.select("doc_id", "source", "lang", "text"), F.col("doc_id"), toxic).filter("__may")  # few others: texts are not dealt
+    toxic = likely.join(toxic, likely["doc_id"] == toxic["key"], "left_semi").select("source", "lang", "text")
+    toxic = write_table(toxic, "rollup-toxic")
+    trimmed = toxic.withColumn("text", F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))
     plus, minus = (lambda df: df.withColumn("sign", F.lit(1))), (lambda df: df.withColumn("sign", F.lit(-1)))
-    rollup.commit("revised", minus(marked).unionByName(plus(trimmed)), sign_col="sign")
-    rollup.commit("taken-back", minus(trimmed).unionByName(plus(marked)), sign_col="sign")
-    rollup.commit("withdrawn", minus(marked), sign_col="sign")
-    rollup.commit("again", plus(marked), sign_col="sign")
+    rollup.commit("revised", minus(toxic).unionByName(plus(trimmed)), sign_col="sign")
+    rollup.commit("taken-back", minus(trimmed).unionByName(plus(toxic)), sign_col="sign")
+    rollup.commit("withdrawn", minus(toxic), sign_col="sign")
+    rollup.commit("again", plus(toxic), sign_col="sign")
     return rollup.totals()
 
 

@@ -44,9 +44,6 @@ class _Tokens:
         inside = np.ones(len(token), dtype=bool)
         inside[self.last] = False
         token[inside] = words.hashes(block.texts, lower=True)
-        before = np.empty_like(token)
-        before[1:] = token[:-1]
-        before[self.first] = _BEGIN
         self.held = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % folds == held for i in block.ids], dtype=bool)
         self.train = np.repeat(~self.held, self.sizes)
         self.words, self.word = np.unique(token, return_inverse=True)

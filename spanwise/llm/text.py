@@ -18,6 +18,9 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 #: A random 64-bit value for each byte, the same in every process.
 _OF_BYTE = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+#: Bytes whose running sums are held at a time when words are hashed.
+HASH_BYTES = 1 << 20
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -126,8 +129,17 @@ class Words:
         return Words(starts, ends, np.searchsorted(starts, texts.offsets))
 
     def hashes(self, texts: Texts, lower: bool) -> np.ndarray:
-        data = LOWER[texts.data] if lower else texts.data
-        return Rolling(byte_values(data)).spans(self.starts, self.ends)
+        """A 64-bit hash of each word, whatever stands around it; ``HASH_BYTES`` of text at a time."""
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        at = 0
+        while at < len(out):
+            base = self.starts[at]
+            last = max(at + 1, int(np.searchsorted(self.ends, base + HASH_BYTES, "right")))
+            data = texts.data[base : self.ends[last - 1]]
+            rolling = Rolling(byte_values(LOWER[data] if lower else data))
+            out[at:last] = rolling.spans(self.starts[at:last] - base, self.ends[at:last] - base)
+            at = last
+        return out
 
 
 def window_counts(first: np.ndarray, width: int) -> np.ndarray:

@@ -73,6 +73,15 @@ def test_rolling_hashes_and_words():
     assert text.ranges(np.array([5, 9, 2]), np.array([2, 0, 3])).tolist() == [5, 6, 2, 3, 4]
 
 
+def test_words_hash_alike_in_parts(monkeypatch):
+    t = text.Texts.of(pa.array(["Ab  cd " * 9, None, "x" * 50 + " cd", "ab"]))
+    w = text.Words.of(t)
+    whole = [w.hashes(t, lower).tolist() for lower in (True, False)]
+    monkeypatch.setattr(text, "HASH_BYTES", 7)
+    assert [w.hashes(t, lower).tolist() for lower in (True, False)] == whole
+    assert whole[0][0] == whole[0][-1] != whole[1][0] and whole[0][1] == whole[0][-2]
+
+
 def test_packed_arrays():
     rng = np.random.default_rng(0)
     for values in ([], [0, 0], [1, 2**63 + 5], rng.integers(0, 1 << 62, 99)):

@@ -42,6 +42,8 @@ SLICE = 1 << 18
 MOST_BITS = 1 << 26
 #: A shingle is rare among open nodes if so many hold it at most.
 RARE = 8
+#: Pairs of one pivot and bucket for which its set is copied once more.
+CROWD = 64
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
@@ -181,12 +183,27 @@ def _sets(width: int, shared):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    both = pairs.join(left, "a").join(right, "b")
+    """The pairs ``(pivot, node)`` whose full sets are similar enough, as ``(a, b)`` in order.
+
+    ``n`` bounds the pairs that the pivot has in its bucket. The set of a pivot with over ``CROWD`` of them is copied,
+    once for so many, and its pairs are dealt over the copies: a bucket may hold a third of all documents.
+    """
+    a, b = F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
+    pairs = pairs.groupBy(a, b).agg(F.max("pivot").alias("pivot"), F.max("n").alias("n"))
+    other = F.when(F.col("pivot") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    pairs = write_table(pairs.select("pivot", other.alias("node"), F.ceil(F.col("n") / CROWD).alias("copies")), "minhash-pairs")
+    left = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("left"))
+    right = sets.select("node", F.col("shingles").alias("right"))
+    both = pairs.filter("copies <= 1").select("pivot", "node").join(left, "pivot")
+    crowded = pairs.filter("copies > 1")
+    if not crowded.isEmpty():
+        copies = left.join(crowded.groupBy("pivot").agg(F.max("copies").alias("copies")), "pivot")
+        copies = copies.select("pivot", "left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+        dealt = crowded.select("pivot", "node", F.pmod(F.xxhash64("node"), F.col("copies")).alias("copy"))
+        both = both.unionByName(dealt.join(copies, ["pivot", "copy"]).select("pivot", "node", "left"))
+    both = both.join(right, "node")
     common = F.size(F.array_intersect("left", "right"))
-    both = both.select("a", "b", common.alias("common"), (F.size("left") + F.size("right")).alias("total"))
+    both = both.select(a, b, common.alias("common"), (F.size("left") + F.size("right")).alias("total"))
     return both.filter(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
@@ -290,13 +307,12 @@ def _linked(source: DataFrame, members: DataFrame, width: int, percent: int, rep
         sets = sets.groupBy("node").agg(F.min("shingles").alias("shingles"))
     # A set moves here, once; the joins by node below take it from its bucket, one file each.
     sets = write_bucketed(sets, "minhash-sets", buckets, "node")
-    ordered = [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
 
-    least = members.groupBy("band", "key").agg(F.min(F.struct("node", "size")).alias("pivot"))
-    least = write_table(least.select("band", "key", "pivot.*").toDF("band", "key", "pivot", "pivot_size"), "minhash-pivots")
+    least = members.groupBy("band", "key").agg(F.min(F.struct("node", "size")).alias("pivot"), F.count("*").alias("n"))
+    least = write_table(least.select("band", "key", "pivot.*", "n").toDF("band", "key", "pivot", "pivot_size", "n"), "minhash-pivots")
     close = F.least("size", "pivot_size") * 100 >= F.greatest("size", "pivot_size") * percent
-    pairs = members.join(least, ["band", "key"]).filter(F.col("node") != F.col("pivot")).filter(close).select(*ordered).distinct()
-    links = write_table(_verified(pairs, sets, percent), "minhash-links")
+    pairs = members.join(least, ["band", "key"]).filter(F.col("node") != F.col("pivot")).filter(close)
+    links = write_table(_verified(pairs.select("pivot", "node", "n"), sets, percent), "minhash-links")
     labels = components(links)
     used = least.select("band", "key", F.col("pivot").alias("node"))
     members = members.join(used, ["band", "key", "node"], "left_anti")
@@ -309,17 +325,19 @@ def _linked(source: DataFrame, members: DataFrame, width: int, percent: int, rep
     left = nodes.select("node", "size", "component", F.explode("prefix").alias("shingle"))
     right = left.toDF("pivot", "pivot_size", "group", "shingle")
     pairs = left.join(right, (left["shingle"] == right["shingle"]) & (F.col("node") < F.col("pivot")) & (F.col("component") != F.col("group")) & close)
-    found = write_table(_verified(pairs.select(*ordered).distinct(), sets, percent), "minhash-links")
+    # A shingle brings a node RARE - 1 partners at most, so none is crowded.
+    found = write_table(_verified(pairs.select("pivot", "node", F.lit(1).alias("n")), sets, percent), "minhash-links")
     links = links.unionByName(found)
     known = write_table(nodes.select("node", "rare"), "minhash-rare")
     members = now.drop("component").join(known, "node", "left")
     pivots = 16
     while True:
         # More pivots than one at a time: rounds cost more than comparisons do. Whom the bucket's smallest set is too large for finds no partner in it.
-        smallest = write_table(members.groupBy("band", "key").agg(F.min("size").alias("smallest")), "minhash-smallest")
+        smallest = members.drop("n").groupBy("band", "key").agg(F.min("size").alias("smallest"), F.count("*").alias("n"))
+        smallest = write_table(smallest, "minhash-smallest")
         reach = (F.col("size") - F.col("rare")) * (100 + percent) - percent * F.col("size")
         # Written, so that what follows is summed before it is dealt out: a join alone can split a crowded bucket.
-        members = members.join(smallest, ["band", "key"]).filter(reach >= percent * F.col("smallest")).drop("smallest")
+        members = members.drop("n").join(smallest, ["band", "key"]).filter(reach >= percent * F.col("smallest")).drop("smallest")
         members = write_table(members, "minhash-left")
         labels = components(links)
         now = write_table(_open(members, labels), "minhash-open")
@@ -331,7 +349,7 @@ def _linked(source: DataFrame, members: DataFrame, width: int, percent: int, rep
         chosen = write_table(chosen, "minhash-pivots")
         able = _can_link(F.col("size"), F.col("rare"), F.col("pivot_size"), F.col("pivot_rare"), percent)
         pairs = now.join(chosen, ["band", "key"]).filter((F.col("component") != F.col("group")) & able)
-        links = links.unionByName(write_table(_verified(pairs.select(*ordered).distinct(), sets, percent), "minhash-links"))
+        links = links.unionByName(write_table(_verified(pairs.select("pivot", "node", "n"), sets, percent), "minhash-links"))
         used = chosen.select("band", "key", F.col("pivot").alias("node"))
         members = now.drop("component").join(used, ["band", "key", "node"], "left_anti")
         pivots = 256

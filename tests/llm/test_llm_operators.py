@@ -673,3 +673,13 @@ def test_release_keeps_the_last_table(spark):
     with pytest.raises(Exception, match="does not exist|PATH_NOT_FOUND|FILE_NOT_EXIST"):
         first.collect()
     store.release(before)
+
+
+def test_crowded_pivots(spark):
+    """Many different near copies of one text: the pivot's pairs are dealt over copies of its set, and no link is lost."""
+    rng = random.Random(12)
+    ws = prose(rng, 150).split()
+    rows = [(k, " ".join(f"own{k}" if x == 7 + k % 130 else w for x, w in enumerate(ws))) for k in range(5 * minhash.CROWD)]
+    rows += [(10_000 + k, prose(rng, 40)) for k in range(30)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: 0 if i < 10_000 else i for i, _ in rows}

@@ -191,8 +191,12 @@ class BlockTable:
             order = np.argsort(keys, kind="stable")
             keys = keys[order]
             new = np.append(True, keys[1:] != keys[:-1])
-            group, first = np.cumsum(new) - 1, np.flatnonzero(new)
-            found = merge(group, first, values[:, order])
+            del keys  # what is not held while the range is merged leaves room for a larger one
+            group, first = np.cumsum(new), np.flatnonzero(new)
+            group -= 1
+            values = values[:, order]
+            found = merge(group, first, values)
+            del group, first, values, new
             back = np.empty_like(found)
             back[:, order] = found
             ends = np.cumsum(sizes)

@@ -79,9 +79,10 @@ class _Tokens:
 
 def _totals(group: np.ndarray, first: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The total of each key, and a mark on one of its entries."""
-    mark = np.zeros(len(group), dtype=np.uint64)
-    mark[first] = 1
-    return np.array([np.add.reduceat(values[0], first)[group], mark])
+    found = np.zeros((2, len(group)), dtype=np.uint64)
+    np.take(np.add.reduceat(values[0], first), group, out=found[0], mode="clip")
+    found[1, first] = 1
+    return found
 
 
 def bucket(count: np.ndarray) -> np.ndarray:

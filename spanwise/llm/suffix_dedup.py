@@ -11,8 +11,9 @@ that compare no known prefix again, which yields both suffix orders with their
 common-prefix lengths. From these two it follows exactly how far the repeated
 strings around each anchor reach.
 
-A gram with more than ``HOT`` different surroundings does not meet in one task:
-the strings around its anchors are looked up one by one, spread by their hash.
+A gram that more than ``HOT`` anchors have does not meet in one task: the
+strings around its anchors are looked up one by one, spread by their hash, and
+are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -336,13 +337,35 @@ def _merge_runs(length: int):
     return gather
 
 
-def _hot_windows(anchors: _Anchors, given: list, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the strings whose anchor's gram is hot, and their hashes."""
+def _hot_windows(anchors: _Anchors, given: list, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the strings whose anchor's gram is hot, and two hashes of each."""
     times = anchors.occurrences(given)
     flags = np.zeros(len(anchors.block.texts.data) + 1, dtype=bool)
     flags[anchors.places[times > hot]] = True
     starts = anchors.starts[flags[anchors.of_start]]
-    return starts, anchors.rolling.spans(starts, starts + anchors.length)
+    if not len(starts):
+        return starts, np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
+    other = Rolling(mix(byte_values(anchors.block.texts.data)))
+    return starts, *(r.spans(starts, starts + anchors.length) for r in (anchors.rolling, other))
+
+
+def distinct_pairs(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of numbers: where each distinct one is first, in order, the number of each one's, and how often it occurs."""
+    order = np.lexsort((two, one))
+    a, b = one[order], two[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    inverse = np.empty(len(a), dtype=np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return order[first], inverse, np.diff(np.append(first, len(a)))
+
+
+def same_strings(group: np.ndarray, first: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """How often each string of hot grams occurs; strings of one key are told apart by their second hash."""
+    _, inverse, _ = distinct_pairs(group.astype(np.uint64), values[1])
+    total = np.zeros(int(inverse.max()) + 1, dtype=np.uint64)
+    np.add.at(total, inverse, values[0])
+    return np.minimum(total, 1 << 40)[inverse][None]
 
 
 def _finish(length: int, hot: int, any_hot: bool):
@@ -361,10 +384,10 @@ def _finish(length: int, hot: int, any_hot: bool):
             np.add.at(change, place - (most[found] - 1), 1)
             np.add.at(change, place - least[found] + length, -1)
         if any_hot:
-            starts, hashes = _hot_windows(anchors, given[0], hot)
+            starts, one, two = _hot_windows(anchors, given[0], hot)
             if len(starts):
                 several = answer(given[2])[0] > 1
-                starts = starts[several[np.searchsorted(np.unique(hashes), hashes)]]
+                starts = starts[several[distinct_pairs(one, two)[1]]]
                 np.add.at(change, starts, 1)
                 np.add.at(change, starts + length, -1)
         gone = np.cumsum(change[:n]) > 0
@@ -401,14 +424,15 @@ def remove_repeated_bytes(
         return _Anchors(block, length).distinct()
 
     def windows(block: Block, given: list):
-        _, hashes = _hot_windows(_Anchors(block, length), given[0], hot)
-        return np.unique(hashes, return_counts=True)
+        _, one, two = _hot_windows(_Anchors(block, length), given[0], hot)
+        at, _, counts = distinct_pairs(one, two)
+        return one[at], np.array([counts.astype(np.uint64), two[at]])
 
     table.ask("grams", grams, _at_least_two)
     table.exchange("reach", _send_runs(length, hot, table.ranges), _merge_runs(length), ("grams",))
     any_hot = table.any_answer("grams", lambda values: bool((values > hot).any()))
     if any_hot:
-        table.ask("windows", windows, _at_least_two, ("grams",))
+        table.ask("windows", windows, same_strings, ("grams",), planes=2)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     answers = ("grams", "reach", "windows") if any_hot else ("grams", "reach")
     return table.map(_finish(length, hot, any_hot), schema, answers)

@@ -683,3 +683,25 @@ def test_crowded_pivots(spark):
     rows += [(10_000 + k, prose(rng, 40)) for k in range(30)]
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()}
     assert got == {i: 0 if i < 10_000 else i for i, _ in rows}
+
+
+def test_strings_of_one_key_are_told_apart():
+    """A first hash of two bits: equal keys, different strings."""
+    rng = np.random.default_rng(8)
+    one, two = rng.integers(0, 4, 500).astype(np.uint64), rng.integers(0, 50, 500).astype(np.uint64)
+    want = {}
+    for p in zip(one.tolist(), two.tolist()):
+        want[p] = want.get(p, 0) + 1
+    at, inverse, counts = suffix_dedup.distinct_pairs(one, two)
+    assert [(int(one[k]), int(two[k])) for k in at] == sorted(want)
+    assert (one[at][inverse] == one).all() and (two[at][inverse] == two).all()
+    keys, values = one[at], np.array([counts.astype(np.uint64), two[at]])
+    both = np.concatenate([keys, keys])  # two blocks
+    order = np.argsort(both, kind="stable")
+    new = np.append(True, both[order][1:] != both[order][:-1])
+    planes = np.concatenate([values, values], axis=1)[:, order]
+    found = suffix_dedup.same_strings(np.cumsum(new) - 1, np.flatnonzero(new), planes)
+    assert found.shape == (1, len(both))
+    assert found[0].tolist() == [2 * want[int(a), int(b)] for a, b in zip(both[order], planes[1])]
+    empty = np.empty(0, np.uint64)
+    assert [len(x) for x in suffix_dedup.distinct_pairs(empty, empty)] == [0, 0, 0]

@@ -4,7 +4,8 @@ A change row carries a sign: +1 inserts a document's counts, -1 takes them
 back, and a revision is one row of each. Every batch is reduced to additive
 deltas by (source, lang, tokenizer) before it is written, under its own batch
 id; a batch that is committed already is not counted again. Totals are sums
-over the committed deltas, so batches can come in any order.
+over the committed deltas, so batches can come in any order. ``compact`` adds
+up what is committed, so that batches do not pile up as files.
 """
 
 from __future__ import annotations
@@ -74,9 +75,37 @@ class TokenRollup:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
+    def _exists(self, name: str) -> bool:
+        fs, target = self._fs(f"{self.path}/{name}")
+        return fs.exists(target)
+
+    def _folders(self, kind: str, mark: str) -> list[str]:
+        """What follows ``kind=`` in the names of folders that hold ``mark``."""
+        fs, root = self._fs(self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        found = [n.removeprefix(f"{kind}=") for n in names if n.startswith(f"{kind}=")]
+        return [n for n in found if self._exists(f"{kind}={n}/{mark}")]
+
+    def _snapshots(self) -> list[int]:
+        return sorted(int(n) for n in self._folders("snapshot", "_DONE"))
+
+    def _ids(self) -> DataFrame | None:
+        """The batches that the latest snapshot holds."""
+        numbers = self._snapshots()
+        return self.spark.read.schema("batch string").parquet(f"{self.path}/snapshot={numbers[-1]}/ids") if numbers else None
+
+    def _held(self, names: list[str]) -> set[str]:
+        """Those of ``names`` that the latest snapshot holds."""
+        ids = self._ids() if names else None
+        return {r["batch"] for r in ids.filter(F.col("batch").isin(names)).collect()} if ids is not None else set()
+
+    def _open(self) -> list[str]:
+        """Committed batches that the latest snapshot does not hold."""
+        names = self._folders("batch", "_SUCCESS")
+        return sorted(set(names) - self._held(names))
+
     def committed(self, batch_id: str) -> bool:
-        fs, marker = self._fs(f"{self.path}/batch={batch_id}/_SUCCESS")
-        return fs.exists(marker)
+        return self._exists(f"batch={batch_id}/_SUCCESS") or batch_id in self._held([batch_id])
 
     def commit(self, batch_id: str, changes: DataFrame, text_col: str = "text", sign_col: str | None = None) -> bool:
         """Count a batch once. False if ``batch_id`` was committed before; what a failed try left is overwritten.
@@ -92,16 +121,37 @@ class TokenRollup:
         return True
 
     def batches(self) -> list[str]:
-        fs, root = self._fs(self.path)
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch=") and self.committed(n.removeprefix("batch=")))
+        """The ids of all committed batches, compacted ones included."""
+        ids = self._ids()
+        held = [] if ids is None else [r["batch"] for r in ids.collect()]
+        return sorted([*held, *self._open()])
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, n_docs, n_tokens, n_bytes``; keys whose documents are all gone are left out."""
-        paths = [f"{self.path}/batch={b}" for b in self.batches()]
+        paths = [f"{self.path}/snapshot={n}/totals" for n in self._snapshots()[-1:]] + [f"{self.path}/batch={b}" for b in self._open()]
         if not paths:
             return self.spark.createDataFrame([], DELTA)
         summed = self.spark.read.schema(DELTA).parquet(*paths).groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
         return summed.filter(" OR ".join(f"{c} <> 0" for c in SUMS))
+
+    def compact(self) -> bool:
+        """Add up all committed batches in one snapshot, which remembers their ids. False if none came since the last one.
+
+        A snapshot counts once its mark is set, so one that failed changes nothing. What it replaces goes with the next
+        compaction, and totals that were planned before stay readable until then. One compaction at a time; commits of
+        other batches may go on.
+        """
+        opened, numbers, ids = self._open(), self._snapshots(), self._ids()
+        if not opened:
+            return False
+        replaced = self._held(self._folders("batch", "_SUCCESS"))
+        into = f"{self.path}/snapshot={numbers[-1] + 1 if numbers else 0}"
+        self.totals().repartition(1).write.mode("overwrite").parquet(f"{into}/totals")  # one row per key
+        new = self.spark.createDataFrame([(b,) for b in opened], "batch string")
+        (new if ids is None else ids.unionByName(new)).repartition(1).write.mode("overwrite").parquet(f"{into}/ids")
+        fs, mark = self._fs(f"{into}/_DONE")
+        fs.create(mark, True).close()
+        for old in [*(f"batch={b}" for b in replaced), *(f"snapshot={n}" for n in numbers[:-1])]:
+            fs, target = self._fs(f"{self.path}/{old}")
+            fs.delete(target, True)
+        return True

@@ -526,6 +526,17 @@ def test_token_rollup(spark, tmp_path):
     assert rows_of(rollup.totals(), *columns) == direct(one + two + three)
     with pytest.raises(ValueError):
         rollup.commit("../x", changes(one))
+    # Compaction changes no total and forgets no batch; a batch folder goes with the compaction after the one that replaced it.
+    assert rollup.compact() and not rollup.compact()
+    (tmp_path / "r" / "snapshot=7").mkdir()  # one that failed before its end
+    assert rows_of(rollup.totals(), *columns) == direct(one + two + three)
+    assert rollup.commit("b5", changes(three), sign_col="sign") and not rollup.commit("b1", changes(one), sign_col="sign")
+    assert rows_of(rollup.totals(), *columns) == direct(one + two + three + three)
+    planned = rollup.totals()
+    assert rollup.compact()
+    assert rows_of(planned, *columns) == rows_of(rollup.totals(), *columns) == direct(one + two + three + three)
+    assert not (tmp_path / "r" / "batch=b1").exists() and (tmp_path / "r" / "batch=b5").exists()
+    assert not rollup.commit("b1", changes(one), sign_col="sign") and rollup.batches() == ["b1", "b2", "b3", "b5", "empty"]
 
 
 def brute_lines(rows):

@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import contains_expr, overlaps_expr
-from ..plans.binning import Survey, binned_pairs
+from ..functions.columns import contains_expr, floor_div, overlaps_expr
+from ..plans.binning import Survey, binned_pairs, level_of, survey
+from ..plans.grouped import deal, task_count
 from ..plans.running import Edges, running, segment_width
 
 OVERLAP_TYPES = ("all", "first", "last")
@@ -30,6 +31,14 @@ def _known(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.dropna(subset=[*by, "start", "end"])
 
 
+def _unknown(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows that ``_known`` leaves out."""
+    known = F.lit(True)
+    for c in (*by, "start", "end"):
+        known = known & F.col(c).isNotNull()
+    return df.filter(~known)
+
+
 def _target(b: DataFrame, by: Sequence[str]) -> DataFrame:
     return b.select(*by, F.col("idx").alias("idx2"), F.col("start").alias("start2"), F.col("end").alias("end2"))
 
@@ -164,7 +173,7 @@ def nearest(
 
     Overlaps (within ``slack``) have distance 0; others the gap plus 1, measured from the query moved left by
     ``slack``. ``forward`` looks right, ``backward`` left, by coordinates alone. ``width`` as in ``running``; 0 finds
-    out whether a group is too large for one task.
+    out whether a group is too large for one task, and if none is a large part of the rows deals them once, by groups.
     """
     way = _one_of(direction, DIRECTIONS, "direction")
     by = list(by)
@@ -173,6 +182,10 @@ def nearest(
     if k == 0:
         return a.select("idx", F.col("idx").alias("idx2"), F.col("idx").alias("distance")).limit(0)
     queries, targets = _known(a, by), _known(b, by)
+    tasks = task_count([queries, targets], by) if width == 0 and slack >= 0 else None
+    if tasks is not None:
+        out = _nearest_dealt(queries, targets, by, slack, k, include_overlaps, way, tasks)
+        return out.orderBy("idx", "distance", "idx2") if sort_output else out
     if width == 0:
         ends = [x.select(*by, F.col("start").alias("p"), F.lit(t).alias("turn"), i.alias("idx")) for x, t, i in ((queries, 1, F.col("idx")), (targets, 0, F.lit(None).cast("long")))]
         width = segment_width(ends[0].unionByName(ends[1]), by, ["p", "turn", "idx"])
@@ -191,6 +204,105 @@ def nearest(
     return out.orderBy("idx", "distance", "idx2") if sort_output else out
 
 
+def _passed(df: DataFrame, by: list[str], pos: Column, at: int, count: str | None, distinct: str | None = None) -> DataFrame:
+    """Add how many targets (``turn`` 0), or distinct positions of them, a row has reached; ``at`` 1 counts those at its own ``pos``."""
+    order = Window.partitionBy(*by).orderBy("__pos", F.col("turn") if at else -F.col("turn"))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    target = F.col("turn") == 0
+    out = df.withColumn("__pos", pos)
+    if count:
+        out = out.withColumn(count, F.count(F.when(target, 1)).over(so_far))
+    if distinct:
+        earlier = F.max(F.when(target, F.col("__pos"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        fresh = target & (F.col("__earlier").isNull() | (F.col("__earlier") < F.col("__pos")))
+        out = out.withColumn("__earlier", earlier).withColumn(distinct, F.count(F.when(fresh, 1)).over(so_far)).drop("__earlier")
+    return out.drop("__pos")
+
+
+def _side_by_side(queries: DataFrame, targets: DataFrame, by: list[str], tasks: int, payload: Sequence[str] = (), payload2: Sequence[str] = ()) -> DataFrame:
+    """Queries (``turn`` 1) and targets (``turn`` 0) in one frame, dealt by groups; the rest of their columns in ``row`` and ``row2``."""
+    left = queries.select(*by, "idx", "start", "end", F.struct(F.lit(1).alias("turn"), *payload).alias("row"), F.lit(1).alias("turn"))
+    right = targets.select(*by, "idx", "start", "end", F.struct(F.lit(0).alias("turn"), *payload2).alias("row2"), F.lit(0).alias("turn"))
+    if not payload and not payload2:
+        left, right = left.drop("row"), right.drop("row2")
+    return deal(left.unionByName(right, allowMissingColumns=True), by, tasks)
+
+
+def _counted(rows: DataFrame, by: list[str], slack: int) -> DataFrame:
+    """Add ``n_overlaps`` to the queries of ``_side_by_side``: targets that start before their end, less those that end by their start."""
+    target = F.col("turn") == 0
+    rows = _passed(rows, by, F.when(target, F.col("end")).otherwise(F.col("start") - slack), 1, "__closed")
+    rows = _passed(rows, by, F.when(target, F.col("start")).otherwise(F.col("end") + slack), 0, "__opened")
+    return rows.withColumn("n_overlaps", F.col("__opened") - F.col("__closed")).drop("__opened", "__closed")
+
+
+_BACK, _AHEAD, _ALONE = -1, -2, -3
+
+
+def _met(rows: DataFrame, by: list[str], slack: int, levels: Survey | None, sides: Sequence[int] = (), outer: bool = False) -> DataFrame:
+    """What queries of ``_side_by_side`` look up, in their tasks: a row for each target found, which is ``other``.
+
+    ``n_overlaps`` says whether a query looks for overlaps, by bins as in ``binned_pairs``; ``sides`` adds the ``__k`` positions
+    numbered ``__back`` and before, and those after ``__ahead``. ``kind`` is negative for these. ``outer`` keeps queries without overlap.
+    """
+    target, low, high = F.col("turn") == 0, F.col("start") - slack, F.col("end") + slack
+    low, high = F.when(target, F.col("start")).otherwise(low), F.when(target, F.col("end")).otherwise(high)
+    kinds, none = [], F.array().cast("array<int>")
+    base = levels.base if levels else 0
+    if levels:
+        both = [F.array(*[F.lit(x) for x in side if x > base]).cast("array<int>") for side in levels.levels]
+        above = F.filter(F.when(target, both[0]).otherwise(both[1]), lambda x: x > F.col("__own"))
+        kinds.append(F.when(target | (F.col("n_overlaps") > 0), F.concat(F.array("__own"), above)).otherwise(none))
+    if sides:
+        kinds.append(F.when(target | (F.col("__k") > 0), F.array(*[F.lit(x) for x in sides])).otherwise(none))
+    if outer:
+        kinds.append(F.when(~target & (F.col("n_overlaps") == 0), F.array(F.lit(_ALONE))).otherwise(none))
+    kind, bin_width = F.col("kind"), F.expr("shiftleft(1L, greatest(kind, 0))")
+    first, last = floor_div(low, bin_width), floor_div(high - 1, bin_width)
+    last = F.greatest(first, last)
+    if sides:
+        back, ahead = F.col("__back"), F.col("__ahead")
+        first = F.when(kind == _BACK, F.when(target, back).otherwise(F.greatest(back - F.col("__k") + 1, F.lit(1)))).when(kind == _AHEAD, F.when(target, ahead).otherwise(ahead + 1)).otherwise(first)
+        last = F.when(kind == _BACK, back).when(kind == _AHEAD, F.when(target, ahead).otherwise(ahead + F.col("__k"))).otherwise(last)
+    if outer:
+        first, last = (F.when(kind == _ALONE, F.lit(0).cast("long")).otherwise(x) for x in (first, last))
+    keyed = rows.withColumn("__own", level_of(low, high, base)).withColumn("kind", F.explode(F.concat(*kinds)))
+    keyed = keyed.withColumn("__key", F.explode(F.when(first <= last, F.sequence(first, last))))
+    keyed = keyed.drop("__back", "__ahead", "__k", "n_overlaps")
+    held = [c for c in ("idx", "start", "end", "__own", "row2") if c in keyed.columns]
+    others = F.collect_list(F.when(target, F.struct(*held))).over(Window.partitionBy(*by, "kind", "__key"))
+    found = keyed.withColumn("__others", others).filter("turn = 1")
+    if outer:
+        empty = F.array(F.lit(None).cast(found.schema["__others"].dataType.elementType))
+        found = found.withColumn("__others", F.when(kind == _ALONE, empty).otherwise(F.col("__others")))
+    found = found.withColumn("other", F.explode("__others")).drop("__others")
+    start2, end2 = F.col("other.start"), F.col("other.end")
+    once = (kind == F.greatest("__own", "other.__own")) & (F.col("__key") == floor_div(F.greatest(low, start2), bin_width))
+    return found.filter((kind < 0) | (once & overlaps_expr("start", "end", start2, end2, slack)))
+
+
+def _nearest_dealt(queries: DataFrame, targets: DataFrame, by: list[str], slack: int, k: int, include: bool, way: str, tasks: int) -> DataFrame:
+    """``nearest`` where groups fit tasks, by one exchange: a query looks up its overlaps, if it has any, and numbers of distinct positions beside it."""
+    target, low, ahead = F.col("turn") == 0, F.col("start") - slack, F.col("end") - slack
+    levels = survey([(queries, low, F.col("end") + slack), (targets, F.col("start"), F.col("end"))]) if include else None
+    rows = _side_by_side(queries, targets, by, tasks)
+    rows = _passed(rows, by, F.when(target, F.col("end")).otherwise(low), 1, "__closed", "__back")
+    rows = _passed(rows, by, F.when(target, F.col("start")).otherwise(ahead), 0, "__opened", "__ahead")
+    if include and slack:
+        rows = _passed(rows.drop("__opened"), by, F.when(target, F.col("start")).otherwise(F.col("end") + slack), 0, "__opened")
+    rows = rows.withColumn("n_overlaps", F.col("__opened") - F.col("__closed") if include else F.lit(0)).drop("__opened", "__closed")
+    rows = rows.withColumn("__k", F.lit(k).cast("long") - (F.col("n_overlaps") > 0).cast("long"))  # overlaps are the first distance
+    sides = [side for side, used in ((_BACK, way != "forward"), (_AHEAD, way != "backward")) if used]
+    found = _met(rows, by, slack, levels, sides)
+    kind = F.col("kind")
+    distance = F.when(kind == _BACK, low - F.col("other.end") + 1).when(kind == _AHEAD, F.col("other.start") - ahead + 1).otherwise(0).cast("long")
+    found = found.select(*by, "idx", F.col("other.idx").alias("idx2"), distance.alias("distance"))
+    if way == "any":
+        ranked = found.withColumn("r", F.dense_rank().over(Window.partitionBy(*by, "idx").orderBy("distance")))
+        found = ranked.filter(F.col("r") <= k)
+    return found.select("idx", "idx2", "distance")
+
+
 def _to_one_side(queries: DataFrame, targets: DataFrame, by: list[str], k: int, edge: str, sign: int, width: int | Edges | None) -> DataFrame:
     """Targets whose ``edge`` is at the ``k`` nearest distinct positions on one side of ``pos``.
 

@@ -34,7 +34,7 @@ class Survey(NamedTuple):
         return min(self.rows) <= min(SMALL_ROWS, SMALL_PART * max(self.rows))
 
 
-def _level(start: Column, end: Column, least: int) -> Column:
+def level_of(start: Column, end: Column, least: int) -> Column:
     # The number of binary digits of length - 1: exact, where a logarithm of a double is not.
     digits = F.length(F.bin(end - start - 1))
     return F.greatest(F.lit(least), F.when(end - start <= 1, F.lit(0)).otherwise(digits)).cast("int")
@@ -43,7 +43,7 @@ def _level(start: Column, end: Column, least: int) -> Column:
 def survey(sides: Sequence[tuple[DataFrame, Column, Column]]) -> Survey:
     """A base level, near the mean length, each side's levels from there on, and its rows: one job, 64 rows a side at most."""
     parts = [
-        df.select(F.lit(k).alias("side"), _level(s, e, LEAST_LEVEL).alias("level"), (e - s).alias("length"))
+        df.select(F.lit(k).alias("side"), level_of(s, e, LEAST_LEVEL).alias("level"), (e - s).alias("length"))
         for k, (df, s, e) in enumerate(sides)
     ]
     union = parts[0]
@@ -81,7 +81,7 @@ def binned_pairs(
     base, (levels1, levels2) = found.base, found.levels
 
     def spread(df: DataFrame, s: Column, e: Column, name: str, others: list[int]) -> DataFrame:
-        own = _level(s, e, base)
+        own = level_of(s, e, base)
         above = [x for x in others if x > base]
         met = df.withColumn(name, own)
         if above:

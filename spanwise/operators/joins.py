@@ -334,22 +334,42 @@ def map_to_global(exons: DataFrame, queries: DataFrame, sort_output: bool = Fals
     ``exons``: ``tx, local_start, local_end, chr, genome_start, genome_end, fwd``; ``queries``: ``idx, tx, start,
     end, fwd``. Parts outside all exons vanish.
     """
+    tasks = task_count([queries, exons], ["tx"])
+    if tasks is not None:
+        out = _mapped_dealt(exons, queries, levels, tasks)
+        return out.orderBy("idx", "start") if sort_output else out
     local = queries.select("tx", "idx", F.col("start").alias("qs"), F.col("end").alias("qe"), F.col("fwd").alias("q_fwd"))
     local = local.dropna(subset=["tx", "qs", "qe"])
     pieces = exons.dropna(subset=["tx", "local_start", "local_end"]).withColumns({"start2": F.col("local_start"), "end2": F.col("local_end")})
     names = ["idx", "qs", "qe", "q_fwd", "local_start", "local_end", "chr", "genome_start", "genome_end", "fwd"]
     # By bins inside the transcript: one with very many exons and queries does not meet itself in full.
     meets = binned_pairs(local, pieces, ["tx"], F.col("qs"), F.col("qe"), F.lit(True), [F.col(c) for c in names], levels)
+    out = _on_genome(meets)
+    return out.orderBy("idx", "start") if sort_output else out
+
+
+def _on_genome(meets: DataFrame) -> DataFrame:
     o1 = F.greatest("qs", "local_start") - F.col("local_start")
     o2 = F.least("qe", "local_end") - F.col("local_start")
-    out = meets.select(
+    return meets.select(
         "idx",
         "chr",
         F.when(F.col("fwd"), F.col("genome_start") + o1).otherwise(F.col("genome_end") - o2).alias("start"),
         F.when(F.col("fwd"), F.col("genome_start") + o2).otherwise(F.col("genome_end") - o1).alias("end"),
         (F.col("q_fwd") == F.col("fwd")).alias("fwd"),
     )
-    return out.orderBy("idx", "start") if sort_output else out
+
+
+def _mapped_dealt(exons: DataFrame, queries: DataFrame, levels: Survey | None, tasks: int) -> DataFrame:
+    """``map_to_global`` where transcripts fit tasks, by one exchange of both sides."""
+    local = _known(queries, ["tx"])
+    rest = ["chr", "genome_start", "genome_end", "fwd"]
+    pieces = exons.select("tx", F.lit(None).cast("long").alias("idx"), F.col("local_start").alias("start"), F.col("local_end").alias("end"), *rest)
+    pieces = _known(pieces, ["tx"])
+    found = levels or survey([(x, F.col("start"), F.col("end")) for x in (local, pieces)])
+    pairs = _met(_counted(_side_by_side(local, pieces, ["tx"], tasks, ["fwd"], rest), ["tx"], 0), ["tx"], 0, found)
+    names = {"qs": "start", "qe": "end", "q_fwd": "row.fwd", "local_start": "other.start", "local_end": "other.end"} | {c: f"other.row2.{c}" for c in rest}
+    return _on_genome(pairs.select("idx", *(F.col(c).alias(n) for n, c in names.items())))
 
 
 def keep_first_by_idx(pairs: DataFrame, order: Sequence[str] = ("idx2",)) -> DataFrame:

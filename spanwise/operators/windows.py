@@ -80,10 +80,10 @@ def _run_lengths(df: DataFrame, by: list[str], width: int | Edges | None, ends:
     return ran.withColumn("__cs", F.col("__ce") - F.col("__len")), order
 
 
-def group_cumsum(df: DataFrame, by: Sequence[str] = ("grp",), width: int | Edges | None = 0, sort_output: bool = False) -> DataFrame:
-    """``idx, start, end``: each row's place along its group laid end to end, from the right for reverse rows."""
+def group_cumsum(df: DataFrame, by: Sequence[str] = ("grp",), width: int | Edges | None = 0, sort_output: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """``idx, start, end``: each row's place along its group laid end to end, from the right for reverse rows; ``keep`` adds columns of ``df``."""
     ran, _ = _run_lengths(df, list(by), width, False)
-    out = ran.select("idx", F.col("__cs").alias("start"), F.col("__ce").alias("end"))
+    out = ran.select("idx", F.col("__cs").alias("start"), F.col("__ce").alias("end"), *keep)
     return out.orderBy("idx") if sort_output else out
 
 

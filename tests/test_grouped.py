@@ -50,6 +50,21 @@ def test_nearest(spark, monkeypatch, way, include):
     assert all(rows)
 
 
+def test_map_to_global(spark, monkeypatch):
+    exons = frame(spark, 9, 80).selectExpr("grp AS tx", "start AS local_start", "`end` AS local_end", "tag AS chr", "start * 10 AS genome_start", "`end` * 10 AS genome_end", "idx % 2 = 0 AS fwd")
+    queries = frame(spark, 10, 60).selectExpr("idx", "grp AS tx", "start", "`end`", "idx % 3 = 0 AS fwd")
+    some = joins.map_to_global(exons, queries)
+    assert dealt(some) == 1
+    rows = got(some)
+    large(monkeypatch)
+    assert rows == got(joins.map_to_global(exons, queries)) and rows
+
+
+def test_exons_are_not_joined(spark):
+    plan = catalog.QUERIES["map_to_global"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "MergeJoin" not in plan and "HashJoin" not in plan
+
+
 def test_large_groups_are_not_dealt_whole(spark):
     rows = spark.range(grouped.FEW_ROWS + 1).select(F.lit(1).alias("grp"))
     assert grouped.task_count([rows], ["grp"]) is None

@@ -116,6 +116,10 @@ def count_overlaps(a: DataFrame, b: DataFrame, by: Sequence[str] = ("grp",), sla
         pairs = overlap_pairs(a, b, by, slack).groupBy("idx").agg(F.count("*").alias("n"))
         return a.select("idx").join(pairs, "idx", "left").select("idx", F.coalesce("n", F.lit(0)).alias("n_overlaps"))
     known = _known(a, by)
+    tasks = task_count([known, b], by) if width == 0 else None
+    if tasks is not None:
+        counted = _counts_dealt(a, b, by, slack, tasks, ()).select("idx", "n_overlaps")
+        return counted.unionByName(_unknown(a, by).select("idx", F.lit(0).cast("long").alias("n_overlaps")))
 
     def events(df: DataFrame, pos: Column, turn: int, opened: int, closed: int, sign: int) -> DataFrame:
         idx = F.col("idx") if sign else F.lit(None).cast("long")
@@ -139,6 +143,11 @@ def count_overlaps(a: DataFrame, b: DataFrame, by: Sequence[str] = ("grp",), sla
     return a.select("idx").join(counts, "idx", "left").select("idx", F.coalesce("n", F.lit(0)).cast("long").alias("n_overlaps"))
 
 
+def _counts_dealt(a: DataFrame, b: DataFrame, by: list[str], slack: int, tasks: int, payload: Sequence[str]) -> DataFrame:
+    """Groups, ``idx, start, end, n_overlaps`` and ``row`` of the known rows of ``a``, by one exchange."""
+    return _counted(_side_by_side(_known(a, by), _known(b, by), by, tasks, payload), by, slack).filter("turn = 1")
+
+
 def non_overlaps(a: DataFrame, b: DataFrame, by: Sequence[str] = ("grp",), slack: int = 0, sort_output: bool = False) -> DataFrame:
     """``idx`` of query rows that overlap no target; all of them if there are no targets."""
     out = count_overlaps(a, b, by, slack).filter("n_overlaps = 0").select("idx")
@@ -148,6 +157,10 @@ def non_overlaps(a: DataFrame, b: DataFrame, by: Sequence[str] = ("grp",), slack
 def overlap_join(a: DataFrame, b: DataFrame, by: Sequence[str] = ("grp",), slack: int = 0, how: str = "inner", contained: bool = False, suffix: str = "2") -> DataFrame:
     """Whole rows joined by overlap; ``how``: inner, left, left_semi or left_anti. Columns of ``b`` get ``suffix``."""
     how = _one_of(how, ("inner", "left", "left_semi", "left_anti"), "how")
+    by = list(by)
+    tasks = task_count([_known(a, by), _known(b, by)], by) if slack >= 0 and not contained else None
+    if tasks is not None:
+        return _joined_dealt(a, b, by, slack, how, suffix, tasks)
     if how in ("left_semi", "left_anti") and not contained:  # counted, so that no pairs are made
         some = count_overlaps(a.select(*by, "idx", "start", "end"), b, by, slack).filter("n_overlaps > 0").select("idx")
         return a.join(some, "idx", how)
@@ -158,6 +171,31 @@ def overlap_join(a: DataFrame, b: DataFrame, by: Sequence[str] = ("grp",), slack
     return a.join(pairs, "idx", how).join(renamed, F.col("idx2") == F.col(f"idx{suffix}") if suffix != "2" else "idx2", how)
 
 
+def _joined_dealt(a: DataFrame, b: DataFrame, by: list[str], slack: int, how: str, suffix: str, tasks: int) -> DataFrame:
+    """``overlap_join`` where groups fit tasks: whole rows go through one exchange."""
+    keys = [*by, "idx", "start", "end"]
+    payload, payload2 = ([c for c in x.columns if c not in keys] for x in (a, b))
+    own = ["idx", *(F.col(c) if c in keys else F.col(f"row.`{c}`").alias(c) for c in a.columns if c != "idx")]
+    if how in ("left_semi", "left_anti"):
+        wanted = F.col("n_overlaps") > 0 if how == "left_semi" else F.col("n_overlaps") == 0
+        out = _counts_dealt(a, b, by, slack, tasks, payload).filter(wanted).select(*own)
+        return out if how == "left_semi" else out.unionByName(_unknown(a, by))
+    known, targets = _known(a, by), _known(b, by)
+    levels = survey([(known, F.col("start") - slack, F.col("end") + slack), (targets, F.col("start"), F.col("end"))])
+    rows = _counted(_side_by_side(known, targets, by, tasks, payload, payload2), by, slack)
+    pairs = _met(rows, by, slack, levels, outer=how == "left")
+    there = F.col("other").isNotNull()
+    theirs = []
+    for c in b.columns:
+        held = F.when(there, F.col(c)) if c in by else F.col(f"other.`{c}`") if c in keys else F.col(f"other.row2.`{c}`")
+        theirs.append(held.alias(f"{c}{suffix}"))
+    # The order of columns that two joins on ids give: the target's id first where both sides call it idx2.
+    idx2 = F.col("other.idx").alias("idx2")
+    mine = [x for x, c in zip(theirs, b.columns) if c != "idx"] if suffix == "2" else theirs
+    found = pairs.select(*([idx2, *own] if suffix == "2" else [*own, idx2]), *mine)
+    return found if how == "inner" else found.unionByName(_unknown(a, by), allowMissingColumns=True)
+
+
 def nearest(
     a: DataFrame,
     b: DataFrame,

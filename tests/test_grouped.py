@@ -50,6 +50,26 @@ def test_nearest(spark, monkeypatch, way, include):
     assert all(rows)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_overlap_join(spark, monkeypatch, how):
+    a, b = frame(spark, 3).drop("tag").withColumn("n", F.col("idx") % 3), frame(spark, 4, 40)
+    some = [joins.overlap_join(a, b, slack=s, how=how, suffix=x) for s, x in ((0, "2"), (4, "_b"))]
+    assert [dealt(df) for df in some] == [1, 1]
+    rows = [(df.columns, got(df)) for df in some]
+    large(monkeypatch)
+    assert rows == [(df.columns, got(df)) for df in (joins.overlap_join(a, b, slack=s, how=how, suffix=x) for s, x in ((0, "2"), (4, "_b")))]
+    assert all(r for _, r in rows)
+
+
+def test_counts(spark, monkeypatch):
+    a, b = frame(spark, 5), frame(spark, 6, 40)
+    some = [joins.count_overlaps(a, b, slack=s) for s in (0, 7)]
+    assert [dealt(df) for df in some] == [1, 1]
+    rows = [got(df) for df in some]
+    large(monkeypatch)
+    assert rows == [got(joins.count_overlaps(a, b, slack=s)) for s in (0, 7)]
+
+
 def test_map_to_global(spark, monkeypatch):
     exons = frame(spark, 9, 80).selectExpr("grp AS tx", "start AS local_start", "`end` AS local_end", "tag AS chr", "start * 10 AS genome_start", "`end` * 10 AS genome_end", "idx % 2 = 0 AS fwd")
     queries = frame(spark, 10, 60).selectExpr("idx", "grp AS tx", "start", "`end`", "idx % 3 = 0 AS fwd")

@@ -12,8 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.binning import survey
+from ..plans.grouped import task_count
 from ..plans.running import Edges, before_groups, following, running, segment_width
-from .joins import overlap_pairs
+from .joins import _counted, _known, _met, _side_by_side, _unknown, overlap_pairs
 
 #: Rows that ``max_disjoint`` gathers before it starts another array.
 TAKEN = 256
@@ -116,10 +118,20 @@ def split(df: DataFrame, by: Sequence[str] = ("grp",), slack: int = 0, between:
 def subtract(a: DataFrame, b: DataFrame, by: Sequence[str] = ("grp",), sort_output: bool = False, width: int | Edges | None = 0) -> DataFrame:
     """Each row of ``a`` less the union of ``b``: ``idx, start, end``, none to several pieces per row."""
     by = list(by)
-    merged = merge(b.dropna(subset=[*by, "start", "end"]), by, 0, width).select(*by, "idx", "start", "end")
-    hits = overlap_pairs(a, merged, by).groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("start2", "end2"))).alias("cuts"))
-    rows = a.select("idx", "start", "end").join(hits, "idx", "left")
-    cuts = F.coalesce("cuts", F.array().cast("array<struct<start2:bigint,end2:bigint>>"))
+    targets, cuts_type = _known(b, by), "array<struct<start2:bigint,end2:bigint>>"
+    tasks = task_count([_known(a, by), targets], by) if width == 0 else None
+    if tasks is not None:  # groups fit tasks: pairs are made and gathered where the rows lie
+        known, merged = _known(a, by), merge(targets, by, 0, None)
+        levels = survey([(x, F.col("start"), F.col("end")) for x in (known, merged)])
+        pairs = _met(_counted(_side_by_side(known, merged, by, tasks), by, 0), by, 0, levels, outer=True)
+        cut = F.when(F.col("other").isNotNull(), F.struct(F.col("other.start").alias("start2"), F.col("other.end").alias("end2")))
+        rows = pairs.groupBy(*by, "idx", "start", "end").agg(F.array_sort(F.collect_list(cut)).cast(cuts_type).alias("cuts")).select("idx", "start", "end", "cuts")
+        rows = rows.unionByName(_unknown(a, by).select("idx", "start", "end", F.array().cast(cuts_type).alias("cuts")))
+    else:
+        merged = merge(targets, by, 0, width).select(*by, "idx", "start", "end")
+        hits = overlap_pairs(a, merged, by).groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("start2", "end2"))).alias("cuts"))
+        rows = a.select("idx", "start", "end").join(hits, "idx", "left")
+    cuts = F.coalesce("cuts", F.array().cast(cuts_type))
     starts = F.concat(F.array("start"), F.transform(cuts, lambda c: c["end2"]))
     ends = F.concat(F.transform(cuts, lambda c: c["start2"]), F.array("end"))
     pieces = rows.select("idx", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("p"))

@@ -70,6 +70,15 @@ def test_counts(spark, monkeypatch):
     assert rows == [got(joins.count_overlaps(a, b, slack=s)) for s in (0, 7)]
 
 
+def test_subtract(spark, monkeypatch):
+    a, b = frame(spark, 7), frame(spark, 8, 30)
+    some = setops.subtract(a, b)
+    assert dealt(some) == 2  # what is subtracted is merged first
+    rows = got(some)
+    large(monkeypatch)
+    assert rows == got(setops.subtract(a, b)) and rows
+
+
 def test_map_to_global(spark, monkeypatch):
     exons = frame(spark, 9, 80).selectExpr("grp AS tx", "start AS local_start", "`end` AS local_end", "tag AS chr", "start * 10 AS genome_start", "`end` * 10 AS genome_end", "idx % 2 = 0 AS fwd")
     queries = frame(spark, 10, 60).selectExpr("idx", "grp AS tx", "start", "`end`", "idx % 3 = 0 AS fwd")
